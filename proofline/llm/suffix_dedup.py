@@ -19,31 +19,36 @@ from bisect import bisect_right
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from proofline.llm.common import _INV, _ODD, cut_table, keyed, mix, powers
+from proofline.llm.common import _INV, _ODD, cut, cut_table, keyed, mix, powers
 
 WINDOW, GRAM = 100, 32
 RANGE_ROWS = 100_000  # suffixes of a range
 SAMPLE = 64  # sampled suffixes for each splitter
 PIECE = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
-def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(position, gram hash) of the anchors of every window of one run of bytes."""
-    at, of = [], []
+def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(position, bytes before it, bytes from it on, gram hash) of the anchors of one run of bytes; the bytes are those of all windows that it stands for."""
+    parts: list[list] = []
     for s in range(0, max(1, len(data) - window + 1), PIECE):
         piece = np.frombuffer(data[s : s + PIECE + window - 1], np.uint8)
         if len(piece) < window:
             break
-        p, h = _anchors(piece, np.ones(len(piece) - window + 1, bool), window, gram)
-        new = p + s > (at[-1][-1] if at else -1)
-        at.append((p + s)[new])
-        of.append(h[new])
-    return (np.concatenate(at), np.concatenate(of)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        p, back, fore, h = _anchors(piece, np.ones(len(piece) - window + 1, bool), window, gram)
+        p = p + s
+        if parts and parts[-1][0][-1] == p[0]:  # its windows go on in this piece
+            parts[-1][2][-1] = fore[0]
+            p, back, fore, h = p[1:], back[1:], fore[1:], h[1:]
+        if len(p):
+            parts.append([p, back, fore, h])
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
 
 
-def _anchors(piece: np.ndarray, inside: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(piece: np.ndarray, inside: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers(_ODD, len(piece)), out=total[1:])
@@ -54,16 +59,23 @@ def _anchors(piece: np.ndarray, inside: np.ndarray, window: int, gram: int) -> t
         keep = low[:-step] <= low[step:]
         low, where = np.where(keep, low[:-step], low[step:]), np.where(keep, where[:-step], where[step:])
         span += step
-    flags = np.zeros(len(h), bool)
-    flags[where[inside]] = True
-    p = np.flatnonzero(flags)
-    return p, h[p]
+    starts = np.flatnonzero(inside)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    own = where[starts]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))  # the windows of one anchor follow each other
+    last = np.concatenate((first[1:], [len(own)])) - 1
+    p = own[first].astype(np.int64)
+    return p, p - starts[first], starts[last] + window - p, h[p]
 
 
 def _batch_anchors(batches, window: int, gram: int):
-    """Anchors of every row; `spread` is 0, or differs for all but one of the rows that share a gram within a batch."""
+    """Anchors of every row, as (k, place, h, spread): place holds the position and the bytes on both sides.
+
+    spread is 0 for a gram that a batch has once; of several, one has -1 and the others have various numbers.
+    """
     for b in batches:
-        rids, texts = b.column("rid").to_numpy(), b.column("text").to_pylist()
+        rids, texts = b.column("k").to_numpy(), b.column("text").to_pylist()
         rid, pos, h = [], [], []
         rows, held, size = [], [], 0
 
@@ -75,10 +87,10 @@ def _batch_anchors(batches, window: int, gram: int):
             inside = np.ones(len(piece) - window + 1, bool)
             for e in ends[:-1].tolist():
                 inside[e - window + 1 : e] = False
-            p, g = _anchors(piece, inside, window, gram)
+            p, back, fore, g = _anchors(piece, inside, window, gram)
             k = np.searchsorted(ends, p, "right")
             rid.append(rids[np.array(rows)[k]])
-            pos.append(p - np.concatenate(([0], ends[:-1]))[k])
+            pos.append((p - np.concatenate(([0], ends[:-1]))[k] << 16) | (back << 8) | fore)
             h.append(g)
 
         for i, text in enumerate(texts):
@@ -86,9 +98,9 @@ def _batch_anchors(batches, window: int, gram: int):
             if len(raw) < window:
                 continue
             if len(raw) > PIECE:
-                p, g = anchors(raw, window, gram)
+                p, back, fore, g = anchors(raw, window, gram)
                 rid.append(np.full(len(p), rids[i]))
-                pos.append(p)
+                pos.append((p << 16) | (back << 8) | fore)
                 h.append(g)
                 continue
             rows.append(i)
@@ -105,11 +117,18 @@ def _batch_anchors(batches, window: int, gram: int):
         again = np.zeros(len(h), bool)
         again[order[1:]] = h[order[1:]] == h[order[:-1]]
         spread = np.where(again, (np.arange(len(h)) % 4093) + 1, 0).astype(np.int32)
-        twice = again.copy()
-        twice[order[:-1]] |= h[order[1:]] == h[order[:-1]]
+        spread[order[:-1][(h[order[1:]] == h[order[:-1]]) & ~again[order[:-1]]]] = -1
         for s in range(0, len(h), 100_000):
             e = slice(s, s + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[e]), pa.array(pos[e].astype(np.int32)), pa.array(h[e].view(np.int64)), pa.array(spread[e]), pa.array(twice[e])], ["rid", "pos", "h", "spread", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid[e]), pa.array(pos[e]), pa.array(h[e].view(np.int64)), pa.array(spread[e])], ["k", "place", "h", "spread"])
+
+
+def _packed(batches):
+    """Texts compressed for the shuffle."""
+    for b in batches:
+        z = zstandard.ZstdCompressor(level=1)
+        texts = b.column("text")
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("d", "rid", "k")), pa.array([z.compress((texts[i].as_py() or "").encode("utf-8", "replace")) for i in range(b.num_rows)], pa.binary())], ["d", "rid", "k", "z"])
 
 
 def _order(doc_id, rid, pos) -> np.ndarray:
@@ -118,17 +137,18 @@ def _order(doc_id, rid, pos) -> np.ndarray:
 
 def _contexts(batches, window: int, gram: int, splitters: list):
     """The bytes around each repeated anchor and the range they belong to; those that equal an earlier one of the batch are settled at once."""
-    left = window - gram
+    unpack = zstandard.ZstdDecompressor()
     for b in batches:
         rows = []
         settled = []
         seen: dict = {}
         docs = sorted(zip(b.column("d").to_pylist(), b.column("rid").to_pylist(), range(b.num_rows)))
-        texts, places = b.column("text"), b.column("pos")
+        packs, places = b.column("z"), b.column("places")
         for d, r, i in docs:
-            raw = (texts[i].as_py() or "").encode("utf-8", "replace")
-            for p in sorted(set(places[i].as_py())):
-                back, ahead = raw[max(0, p - left) : p][::-1], raw[p : p + window]
+            raw = unpack.decompress(packs[i].as_py())
+            for place in sorted(set(places[i].as_py())):
+                p, before, fore = place >> 16, place >> 8 & 255, place & 255
+                back, ahead = raw[max(0, p - before) : p][::-1], raw[p : p + fore]
                 if (ahead, back) in seen:
                     if len(back) + len(ahead) >= window:
                         settled.append((d, r, p - len(back), p + len(ahead)))
@@ -252,25 +272,26 @@ def _range(batches, splitters: list, window: int, gram: int):
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(rid, d, start, stop) of docs (rid, d, text): byte ranges covered by windows that also start earlier; ranges may overlap."""
+    """(rid, d, start, stop) of docs (rid, d, k, text): byte ranges covered by windows that also start earlier; ranges may overlap."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = docs.select("rid", "text")
-    found = text.mapInArrow(lambda it: _batch_anchors(it, window, gram), "rid long, pos int, h long, spread int, twice boolean")
-    counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h", "spread"))).filter("twice or n > 1")
-    places = cut_table(counted.groupBy("rid").agg(F.collect_set("pos").alias("pos")))
-    total = places.agg(F.sum(F.size("pos"))).first()[0] or 0
+    found = docs.select("k", "text").mapInArrow(lambda it: _batch_anchors(it, window, gram), "k long, place long, h long, spread int")
+    counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h", F.greatest("spread", F.lit(0))))).filter("spread <> 0 or n > 1")
+    places = cut_table(counted.groupBy("k").agg(F.collect_set("place").alias("places")))
+    total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     ranges = max(1, -(-total // range_rows))
+    packed = docs.select("d", "rid", "k", "text").mapInArrow(_packed, "d long, rid long, k long, z binary")
     splitters: list = []
     if ranges > 1:
         size = ranges * SAMPLE
-        some = places.select("rid", F.explode("pos").alias("p")).filter(F.pmod(F.xxhash64("rid", "p"), F.lit(1 << 30)) < int(min(1.0, size / total) * (1 << 30)))
-        some = some.groupBy("rid").agg(F.collect_list("p").alias("pos"))
-        sampled = docs.join(some, "rid").select("d", "rid", "text", "pos").mapInArrow(lambda it: _contexts(it, window, gram, []), _CONTEXT)
+        some = places.select("k", F.explode("places").alias("p")).filter(F.pmod(F.xxhash64("k", "p"), F.lit(1 << 30)) < int(min(1.0, size / total) * (1 << 30)))
+        some = cut(some.groupBy("k").agg(F.collect_list("p").alias("places")))
+        few = F.broadcast(some) if size <= BROADCAST_ROWS else some
+        sampled = packed.join(few, "k").select("d", "rid", "z", "places").mapInArrow(lambda it: _contexts(it, window, gram, []), _CONTEXT)
         got = sorted((bytes(r.ahead), r.d, r.rid, r.pos) for r in sampled.filter("ahead is not null").select("ahead", "d", "rid", "pos").collect())
         splitters = [got[i * len(got) // ranges] for i in range(1, ranges)] if got else []
     shared = spark.sparkContext.broadcast(splitters)
-    once = docs.join(places, "rid").groupBy("rid", "d").agg(F.first("text").alias("text"), F.first("pos").alias("pos"))
+    once = packed.join(places, "k").groupBy("k", "rid", "d").agg(F.first("z").alias("z"), F.first("places").alias("places"))
     around = once.mapInArrow(lambda it: _contexts(it, window, gram, shared.value), _CONTEXT)
     dealt = around.withColumn("dealt", F.coalesce(F.col("bucket"), -F.pmod(F.col("rid"), F.lit(997)).cast("int") - 1))
     solved = dealt.repartition(max(n, min(ranges, 4 * n)), "dealt").sortWithinPartitions("dealt").mapInArrow(lambda it: _ranges(it, shared.value, window, gram), "d long, rid long, start int, stop int, digest binary")
@@ -309,11 +330,12 @@ def _ranges(batches, splitters, window: int, gram: int):
 
 
 def _cleaned(batches):
+    unpack = zstandard.ZstdDecompressor()
     for b in batches:
         out: list[list] = [[], [], [], []]
-        texts, spans = b.column("text"), b.column("spans")
+        packs, spans = b.column("z"), b.column("spans")
         for i in range(b.num_rows):
-            raw = (texts[i].as_py() or "").encode("utf-8", "replace")
+            raw = unpack.decompress(packs[i].as_py())
             kept, removed, runs, end = hashlib.sha256(), 0, 0, 0
             merged: list[list[int]] = []
             for s in sorted((x["start"], x["stop"]) for x in spans[i].as_py() or ()):
@@ -327,7 +349,7 @@ def _cleaned(batches):
             kept.update(raw[end:])
             for k, v in enumerate((len(raw), removed, runs, kept.hexdigest())):
                 out[k].append(v)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([b.column("d"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["d", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -337,15 +359,21 @@ def removal_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
     empty texts have no bytes; texts shorter than the window keep all of them. Rows that repeat both doc_id and text are
     one document, and each is returned with its result. An empty table gives none; other columns are not read.
     """
-    rows = keyed(docs)
-    spans = repeated_spans(rows.select("rid", "d", "text"), window, gram, range_rows).groupBy("rid", "d").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(spans, ["rid", "d"], "left").select("doc_id", "text", "spans").mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _rows(docs)
+    spans = repeated_spans(rows, window, gram, range_rows).groupBy("rid", "d").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    packed = rows.select("d", "rid", "k", "text").mapInArrow(_packed, "d long, rid long, k long, z binary")
+    out = packed.join(spans, ["rid", "d"], "left").select("d", "z", "spans").mapInArrow(_cleaned, "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.select(F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, d, rid, text, k): k names a document to the anchors, by doc_id, which compresses well, where there is one. Documents that share k share extra places to compare, no more."""
+    return keyed(docs).withColumn("k", F.coalesce("doc_id", "rid"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with `text` less its repeated bytes; a character cut in part goes whole. All other columns stay."""
-    base = keyed(docs).select("rid", "d", "text")
-    spans = repeated_spans(base, window).groupBy("rid", "d").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    spans = repeated_spans(_rows(docs), window).groupBy("rid", "d").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
