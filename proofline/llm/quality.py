@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from proofline.llm.common import SPACES, blocks, labelled, span_hashes, spans_of
 
 BITS = 15
-SAMPLE_ROWS = 2_000  # rated documents of each grade that a fit may hold
+SAMPLE_ROWS = 1_200  # rated documents of each grade that a fit may hold
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-6
 TAIL = 0.5
 PRIOR = 30  # features that a text has besides its own, of no weight: few words say little
@@ -43,7 +43,7 @@ def buckets(texts: list[str | None], bits: int = BITS):
         again[1:] = (word[1:] == word[:-1]) & (part[1:] == part[:-1])
         shape = np.where(again, np.uint64(0x5851F42D4C957F2D), shape)
         tail = (tail ^ np.uint64(0xA5A5A5A5A5A5A5A5)) * np.uint64(0xD6E8FEB86659FD93)
-        yield rows[np.tile(part, 3)], np.concatenate((word, tail >> shift, shape >> shift)).astype(np.int64)
+        yield rows[np.tile(part, 3)].astype(np.int32), np.concatenate((word, tail >> shift, shape >> shift)).astype(np.int32)
 
 
 def _eta(weights: np.ndarray, texts: list[str | None]) -> np.ndarray:

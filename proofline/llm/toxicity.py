@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from proofline.llm.common import NO_WORD, blocks, byte_set, labelled, mix, span_hashes, spans_of
 
 BITS = 18
-SAMPLE_ROWS = 2_000  # labelled documents of each label that a fit may hold
+SAMPLE_ROWS = 1_500  # labelled documents of each label that a fit may hold
 LEAST_DOCS = 5  # documents of the sample that a feature must be in
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-5
 LEAST_WEIGHT, LAST_ROUNDS = 0.7, 60  # features below that weight are dropped, and the rest fitted anew
