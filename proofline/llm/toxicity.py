@@ -12,9 +12,9 @@ from proofline.llm.common import NO_WORD, blocks, byte_set, labelled, mix, span_
 
 BITS = 18
 SAMPLE_ROWS = 1_500  # labelled documents of each label that a fit may hold
-LEAST_DOCS = 5  # documents of the sample that a feature must be in
+LEAST_DOCS = 3  # documents of the sample that a feature must be in
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-5
-LEAST_WEIGHT, LAST_ROUNDS = 0.7, 60  # features below that weight are dropped, and the rest fitted anew
+LEAST_WEIGHT, LAST_ROUNDS = 0.7, 120  # features below that weight are dropped, and the rest fitted anew
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)  # bytes
 _LOWER = np.arange(256, dtype=np.uint8)
