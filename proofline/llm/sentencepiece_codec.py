@@ -11,8 +11,7 @@ encoded: a state is a piece that reaches up to or over the border.
 
 from __future__ import annotations
 
-import hashlib
-from functools import reduce
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -164,17 +163,12 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def _around(lattice_width: int, whole: str, s: int, e: int) -> tuple[str, int]:
-    left = max(0, s - lattice_width)
-    return whole[left : e + lattice_width], left
-
-
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, checked: bool = False) -> DataFrame:
     """(doc_id, d, rid, ids): the ids of every text as the model's own library gives them.
 
     Texts of up to `chunk` characters are encoded in place. Longer ones are cut into chunk rows; their transfer matrices are
     combined for each text (a few hundred numbers for each chunk), and each chunk is traced back in a task of its own. A
-    null text has null ids, an empty one none. Rows that repeat doc_id and text each come out; an empty table gives none.
+    null text has null ids, an empty one none. checked: with text_crc32, the checksum of the text that the ids decode to. Rows that repeat doc_id and text each come out; an empty table gives none.
     """
     spark: SparkSession = docs.sparkSession
     proto = model_bytes(model)  # the driver reads the file, functions carry it
@@ -184,15 +178,16 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         for b in batches:
             texts = b.column("text").to_pylist()
-            for s in range(0, len(texts), 500):
-                part = texts[s : s + 500]
+            for s in range(0, len(texts), 200):
+                part = texts[s : s + 200]
                 ids = sp.encode([t or "" for t in part], num_threads=1)
                 flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([t is None for t in part]))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(s, len(part)) for c in ("doc_id", "d", "rid")), lists], ["doc_id", "d", "rid", "ids"])
+                sums = pa.array([zlib.crc32(t.encode("utf-8")) for t in sp.decode(ids)] if checked else [None] * len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(s, len(part)) for c in ("doc_id", "d", "rid")), lists, sums], ["doc_id", "d", "rid", "ids", "text_crc32"])
 
-    small = rows.filter(F.col("text").isNull() | (F.length("text") <= chunk)).mapInArrow(plain, "doc_id long, d long, rid long, ids array<int>")
+    small = rows.filter(F.col("text").isNull() | (F.length("text") <= chunk)).mapInArrow(plain, "doc_id long, d long, rid long, ids array<int>, text_crc32 long")
     giant = rows.filter(F.length("text") > chunk)
     width = Lattice(proto).width
     whole = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
@@ -228,7 +223,10 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     done = pieces.join(states, ["d", "rid", "start"]).mapInPandas(traced, "d long, rid long, start int, ids array<int>")
     joined = done.groupBy("d", "rid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"])).alias("ids"))
     large = giant.select("doc_id", "d", "rid").join(joined, ["d", "rid"]).select("doc_id", "d", "rid", "ids")
-    return small.union(large)
+    if not checked:
+        return small.drop("text_crc32").union(large)
+    decoded = decode(large, model).withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")
+    return small.union(decoded)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, column: str = "ids") -> DataFrame:
@@ -245,5 +243,5 @@ def decode(encoded: DataFrame, model: str = MODEL, column: str = "ids") -> DataF
 
 def token_report(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, text_crc32 (of the text that the ids decode to)."""
-    decoded = decode(encode(docs, model, chunk).select("doc_id", "ids"), model)
-    return decoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    out = encode(docs, model, chunk, checked=True)
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "text_crc32")
