@@ -54,11 +54,17 @@ def copy_ratio(pairs: DataFrame, most: float = 0.5) -> DataFrame:
     return out.select("item_id", F.round("ratio", 6).alias("ratio"), F.when(F.col("ratio") > most, "fail").otherwise("pass").alias("status"))
 
 
+def shingle_sets(texts: DataFrame, size: int = 5) -> DataFrame:
+    """(item_id, shingles): the distinct runs of five tokens, hashed; a shorter text is one, one without tokens is left out."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
+    # Words are bound by a lambda of their own: named in an inner one, they would be split anew for every run.
+    bound = F.element_at(F.transform(F.array(words(F.col("text"))), lambda w: F.when(F.size(w) > 0, F.array_distinct(runs(w)))), 1)
+    return texts.select("item_id", bound.alias("shingles")).filter("shingles IS NOT NULL")
+
+
 def shingles(texts: DataFrame, size: int = 5) -> DataFrame:
-    """(item_id, shingle): distinct runs of five tokens, hashed; a shorter text is one."""
-    w = texts.select("item_id", words(F.col("text")).alias("w")).filter("size(w) > 0")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " ")))
-    return w.select("item_id", F.explode(F.array_distinct(runs)).alias("shingle"))
+    """(item_id, shingle), a row for each."""
+    return shingle_sets(texts, size).select("item_id", F.explode("shingles").alias("shingle"))
 
 
 def boilerplate(texts: DataFrame, similarity: float = 0.8, postings: int = POSTINGS) -> DataFrame:
@@ -67,14 +73,15 @@ def boilerplate(texts: DataFrame, similarity: float = 0.8, postings: int = POSTI
     Candidates share a shingle that 2 to `postings` texts have, so no list gives more than a fixed number of pairs; the
     similarity is that of the full sets.
     """
-    s = shingles(texts)
+    sets = shingle_sets(texts)
     per = Window.partitionBy("shingle")
-    usable = s.withColumn("n", F.count("*").over(per)).filter(F.col("n").between(2, postings)).select("shingle", "item_id")
-    near = usable.alias("a").join(usable.alias("b"), "shingle").filter("a.item_id < b.item_id").select(F.col("a.item_id").alias("left"), F.col("b.item_id").alias("right")).distinct()
-    sizes = s.groupBy("item_id").agg(F.count("*").alias("n"))
-    sized = near.join(sizes.withColumnsRenamed({"item_id": "left", "n": "nl"}), "left").join(sizes.withColumnsRenamed({"item_id": "right", "n": "nr"}), "right")
-    sized = sized.filter(F.least("nl", "nr") >= similarity * F.greatest("nl", "nr"))  # no pair of less alike sizes can reach it
-    left = sized.join(s.withColumnRenamed("item_id", "left"), "left")
-    both = left.join(s.withColumnRenamed("item_id", "right"), ["right", "shingle"]).groupBy("left", "right", "nl", "nr").agg(F.count("*").alias("both"))
-    j = F.col("both") / (F.col("nl") + F.col("nr") - F.col("both"))
-    return both.filter(j >= similarity).select("left", "right", F.round(j, 6).alias("similarity"))
+    sized = sets.select("item_id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    usable = sized.withColumn("n", F.count("*").over(per)).filter(F.col("n").between(2, postings)).select("shingle", "item_id", "size")
+    met = usable.alias("a").join(usable.alias("b"), "shingle").filter("a.item_id < b.item_id")
+    met = met.filter(F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size"))  # no pair of less alike sizes can reach it
+    near = met.select(F.col("a.item_id").alias("left"), F.col("b.item_id").alias("right")).distinct()
+    left = near.join(sets.select(F.col("item_id").alias("left"), F.col("shingles").alias("x")), "left")
+    both = left.join(sets.select(F.col("item_id").alias("right"), F.col("shingles").alias("y")), "right")
+    shared = F.size(F.array_intersect("x", "y"))
+    scored = both.select("left", "right", (shared / (F.size("x") + F.size("y") - shared)).alias("j"))
+    return scored.filter(F.col("j") >= similarity).select("left", "right", F.round("j", 6).alias("similarity"))
