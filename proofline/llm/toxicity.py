@@ -77,10 +77,7 @@ def fit(texts: list[str | None], toxic: list[int], shares: list[float] | None =
         seen.append(h[one])
     known, docs = np.unique(np.concatenate(seen), return_counts=True)
     del seen
-    known, docs = known[docs >= LEAST_DOCS], docs[docs >= LEAST_DOCS]
-    order = np.lexsort((known, -docs))
-    _, one = np.unique((known[order] >> np.uint64(64 - BITS)), return_index=True)  # of features of one cell the commonest
-    known = np.sort(known[order][one])
+    known = known[docs >= LEAST_DOCS]
     parts, base = [], 0
     for row, sentence, h, _, _ in instances(texts):
         at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
@@ -107,7 +104,10 @@ def fit(texts: list[str | None], toxic: list[int], shares: list[float] | None =
         return w, b
 
     w, b = improve(w, b, feature, sentence, ROUNDS)
-    heavy = np.abs(w) >= LEAST_WEIGHT
+    order = np.lexsort((known, -np.abs(w)))
+    _, one = np.unique(known[order] >> np.uint64(64 - BITS), return_index=True)  # of features of one cell the heaviest
+    heavy = np.zeros(len(known), bool)
+    heavy[order[one]] = np.abs(w[order[one]]) >= LEAST_WEIGHT
     kept = heavy[feature]
     known, w, feature, sentence = known[heavy], w[heavy], (np.cumsum(heavy) - 1)[feature[kept]], sentence[kept]
     w, b = improve(w, b, feature, sentence, LAST_ROUNDS)
