@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ MOST_LISTS = 4096
 BLOCK_ROWS = 8192  # rows of a list that one task holds
 RERANK = 32  # rows of a block that are compared exactly, for each query
 TOP = 5
+REACH = 0.96  # share of the sample's true neighbours that must lie in the probed lists
+TUNED_QUERIES = 256
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,26 @@ def fit(vectors: np.ndarray, lists: int, probes: int, parts: int = PARTS) -> Ind
     return Index(centroids, books, probes)
 
 
+def probes_for(index: Index, vectors: np.ndarray, top: int = TOP, reach: float = REACH) -> int:
+    """Lists to probe: the fewest that hold a share `reach` of the true neighbours, by brute force within the sample.
+
+    Neighbours in all rows are nearer than those in a sample of them, so more rows need no more lists.
+    """
+    x = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    asked = np.arange(len(x))[:: max(1, len(x) // TUNED_QUERIES)]
+    own, ranks = _nearest(x, index.centroids), []
+    for s in range(0, len(asked), 64):
+        q = asked[s : s + 64]
+        near = x[q] @ x.T
+        near[np.arange(len(q)), q] = -np.inf
+        best = np.argsort(-near, axis=1, kind="stable")[:, : min(top, len(x) - 1)]
+        order = np.argsort(-(x[q] @ index.centroids.T), axis=1, kind="stable")
+        place = np.argsort(order, axis=1)
+        ranks.append(np.take_along_axis(place, own[best], axis=1).ravel())
+    ranks = np.sort(np.concatenate(ranks))
+    return int(ranks[max(0, int(np.ceil(reach * len(ranks))) - 1)]) + 1
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of vectors that take part: no null or non-finite component, not all zero, of the commonest length; one row for each vec_id."""
     v = F.col("embedding").cast("array<double>")
@@ -76,8 +98,8 @@ def search(vectors: DataFrame, every: int = 50, top: int = TOP, lists: int | Non
     """The `top` nearest by cosine of each query (vec_id divisible by `every`): query_id, rank, vec_id, score.
 
     The index is fitted on at most SAMPLE_ROWS vectors, the first by a hash of vec_id; every vector is indexed. There are
-    about four lists for each square root of the rows, MOST_LISTS at most, and half of them (16 at least) are probed. A
-    list is dealt into blocks of BLOCK_ROWS, so equal vectors that fill one list are spread over tasks; each block ranks
+    about four lists for each square root of the rows, MOST_LISTS at most; as many of them (16 at least) are probed as hold
+    a share REACH of the true neighbours within the sample, so clustered vectors need few and scattered ones many. A list is dealt into blocks of BLOCK_ROWS, so equal vectors that fill one list are spread over tasks; each block ranks
     its codes by asymmetric distances, compares RERANK rows exactly in double precision and passes on its best. Ties go
     to the smaller vec_id throughout. Vectors null, zero, of another length than most, or with null or non-finite
     components take no part, and neither do null ids; of rows that share a vec_id one counts. No vector but the query's own,
@@ -89,10 +111,11 @@ def search(vectors: DataFrame, every: int = 50, top: int = TOP, lists: int | Non
     if n < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = lists or max(1, min(MOST_LISTS, int(4 * n**0.5)))
-    probes = min(lists, probes or max(16, lists // 2))
     sample = sorted(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect(), key=lambda r: r.vec_id)
-    index = fit(np.array([r.v for r in sample]), lists, probes)
+    points = np.array([r.v for r in sample])
     del sample
+    index = fit(points, lists, 0)
+    index = replace(index, probes=min(len(index.centroids), probes or max(16, probes_for(index, points, top))))
     shared = spark.sparkContext.broadcast(vars(index))
 
     def coded(batches):
