@@ -46,6 +46,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), d.alias("d"), F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("d", "text"))
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with __d and __rid, which are d and rid of keyed()."""
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.withColumn("__d", d).withColumn("__rid", F.xxhash64("__d", F.col("text").cast("string")))
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

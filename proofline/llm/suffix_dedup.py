@@ -22,13 +22,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from proofline.llm.common import _INV, _ODD, cut, cut_table, keyed, mix, powers
+from proofline.llm.common import _INV, _ODD, cut, cut_table, keyed, marked, mix, powers
 
 WINDOW, GRAM = 100, 32
-RANGE_ROWS = 100_000  # suffixes of a range
-SAMPLE = 64  # sampled suffixes for each splitter
+RANGE_ROWS = 100_000  # suffixes that are solved at once
+MAX_RANGES = 65_536  # splitters that a broadcast may hold; beyond it ranges grow and each is solved in runs of RANGE_ROWS
+SAMPLE, SAMPLE_ROWS = 64, 262_144  # sampled suffixes for each splitter, and in all
 PIECE = 1_000_000
-BROADCAST_ROWS = 300_000
 
 
 def anchors(data: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -254,18 +254,29 @@ def repeats(doc_id, rid, pos, ahead: list[bytes], back: list[bytes], edges: list
     return (doc_id[hit], rid[hit], pos[hit] - most[hit], pos[hit] - least[hit] + window), (doc_id[rows], rid[rows], starts, digests)
 
 
-def _range(batches, splitters: list, window: int, gram: int):
-    """One range, as Arrow batches that come together."""
+def _range(batches, splitters: list, window: int, gram: int, range_rows: int):
+    """One range, as Arrow batches that come together; a large one in runs, which meet at edges as ranges do."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     t = pa.Table.from_batches(parts)
     k = t.column("bucket")[0].as_py()
-    edges = [splitters[i][0] for i in (k - 1, k) if 0 <= i < len(splitters)]
+    low, high = splitters[k - 1][0] if k else None, splitters[k][0] if k < len(splitters) else None
+    if t.num_rows <= 2 * range_rows:
+        yield _solved(t, [e for e in (low, high) if e is not None], window, gram)
+        return
+    t = t.sort_by([(c, "ascending") for c in ("ahead", "d", "rid", "pos")])
+    for s in range(0, t.num_rows, range_rows):
+        e = s + range_rows
+        edges = (low if s == 0 else t.column("ahead")[s].as_py(), high if e >= t.num_rows else t.column("ahead")[e].as_py())
+        yield _solved(t.slice(s, range_rows), [x for x in edges if x is not None], window, gram)
+
+
+def _solved(t: pa.Table, edges: list[bytes], window: int, gram: int) -> pa.RecordBatch:
     num = lambda c: t.column(c).to_numpy().astype(np.int64)
     (d0, rid, start, stop), (d, r, s, digest) = repeats(num("d"), num("rid"), num("pos"), t.column("ahead").to_pylist(), t.column("back").to_pylist(), edges, window, gram)
     n, m = len(rid), len(r)
-    yield pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate((d0, d))), pa.array(np.concatenate((rid, r))), pa.array(np.concatenate((start, s)).astype(np.int32)), pa.array(np.concatenate((stop, s + window)).astype(np.int32)), pa.array([None] * n + digest, pa.binary())],
         ["d", "rid", "start", "stop", "digest"],
     )
@@ -279,22 +290,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h", F.greatest("spread", F.lit(0))))).filter("spread <> 0 or n > 1")
     places = cut_table(counted.groupBy("k").agg(F.collect_set("place").alias("places")))
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    ranges = max(1, -(-total // range_rows))
+    ranges = min(MAX_RANGES, max(1, -(-total // range_rows)))
     packed = docs.select("d", "rid", "k", "text").mapInArrow(_packed, "d long, rid long, k long, z binary")
     splitters: list = []
     if ranges > 1:
-        size = ranges * SAMPLE
+        size = min(ranges * SAMPLE, SAMPLE_ROWS)
         some = places.select("k", F.explode("places").alias("p")).filter(F.pmod(F.xxhash64("k", "p"), F.lit(1 << 30)) < int(min(1.0, size / total) * (1 << 30)))
+        # SAMPLE_ROWS places, give or take, so the broadcast and the driver's list have a bound
         some = cut(some.groupBy("k").agg(F.collect_list("p").alias("places")))
-        few = F.broadcast(some) if size <= BROADCAST_ROWS else some
-        sampled = packed.join(few, "k").select("d", "rid", "z", "places").mapInArrow(lambda it: _contexts(it, window, gram, []), _CONTEXT)
+        sampled = packed.join(F.broadcast(some), "k").select("d", "rid", "z", "places").mapInArrow(lambda it: _contexts(it, window, gram, []), _CONTEXT)
         got = sorted((bytes(r.ahead), r.d, r.rid, r.pos) for r in sampled.filter("ahead is not null").select("ahead", "d", "rid", "pos").collect())
         splitters = [got[i * len(got) // ranges] for i in range(1, ranges)] if got else []
     shared = spark.sparkContext.broadcast(splitters)
     once = packed.join(places, "k").groupBy("k", "rid", "d").agg(F.first("z").alias("z"), F.first("places").alias("places"))
     around = once.mapInArrow(lambda it: _contexts(it, window, gram, shared.value), _CONTEXT)
     dealt = around.withColumn("dealt", F.coalesce(F.col("bucket"), -F.pmod(F.col("rid"), F.lit(997)).cast("int") - 1))
-    solved = dealt.repartition(max(n, min(ranges, 4 * n)), "dealt").sortWithinPartitions("dealt").mapInArrow(lambda it: _ranges(it, shared.value, window, gram), "d long, rid long, start int, stop int, digest binary")
+    solved = dealt.repartition(max(n, min(ranges, 4 * n)), "dealt").sortWithinPartitions("dealt").mapInArrow(lambda it: _ranges(it, shared.value, window, gram, range_rows), "d long, rid long, start int, stop int, digest binary")
     solved = cut_table(solved)
     first = F.min(F.struct("d", "rid", "start")).over(Window.partitionBy("digest"))
     crossing = solved.filter("digest is not null").distinct().withColumn("first", first).filter("first.d <> d or first.rid <> rid or first.start <> start")
@@ -304,12 +315,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
 _CONTEXT = "bucket int, d long, rid long, pos int, stop int, ahead binary, back binary"
 
 
-def _ranges(batches, splitters, window: int, gram: int):
+def _ranges(batches, splitters, window: int, gram: int, range_rows: int):
     """Rows sorted by range: each range is solved once its rows are complete; settled rows pass through."""
     held: list = []
 
     def flush():
-        yield from _range(held, splitters, window, gram)
+        yield from _range(held, splitters, window, gram, range_rows)
 
     for b in batches:
         if not b.num_rows:
@@ -388,6 +399,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(text, spans)])
 
-    own = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__rid", F.xxhash64("__d", F.col("text").cast("string")))
-    joined = own.join(spans.withColumnsRenamed({"rid": "__rid", "d": "__d"}), ["__rid", "__d"], "left")
+    joined = marked(docs).join(spans.withColumnsRenamed({"rid": "__rid", "d": "__d"}), ["__rid", "__d"], "left")
     return joined.withColumn("text", kept("text", "__spans")).select(docs.columns)
