@@ -13,7 +13,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4  # a pair at 0.8 collides with probability 1 - (1 - 0.8**4)**16 = 0.9998
 LEAST_WORDS = 20  # shorter paragraphs stay
 CELL_ROWS = 2048
-BROADCAST_ROWS = 300_000
+BROADCAST_LINES = 300_000  # of documents to read again; beyond it they are joined by a shuffle
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -57,9 +57,12 @@ def shingled(texts: list[str | None], least: int):
 
 
 def _line_blocks(texts):
-    """As blocks(), but a long text is cut at line ends only."""
-    for rows, parts, offsets in blocks(texts, 1 << 62 if any(t is not None and len(t) > 1_000_000 for t in texts) else 2_000_000):
-        yield rows, parts, offsets
+    """As blocks(), but no text is cut: a long one is a block of its own."""
+    long = {i for i, t in enumerate(texts) if t is not None and len(t) > 500_000}
+    yield from blocks([None if i in long else t for i, t in enumerate(texts)], 2_000_000)
+    for i in long:
+        for _, parts, offsets in blocks([texts[i]], 1 << 62):
+            yield np.array([i]), parts, offsets
 
 
 def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -183,7 +186,7 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SI
     meeting = cut(bands.withColumn("n", F.count("*").over(over)).filter("n > 1"))
     places = found.select("id", "d", "rid", "line").join(meeting.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("d", "rid", "line")).alias("p"))
     places = cut(places.groupBy("p.d", "p.rid").agg(F.collect_set("p.line").alias("lines")))
-    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = (places.agg(F.sum(F.size("lines") + 2)).first()[0] or 0) <= BROADCAST_LINES
     sets = cut_table(_sets(base.join(F.broadcast(places) if few else places, ["d", "rid"]).select("text", "lines")))
     rows_of = meeting.withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
     rows_of = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
