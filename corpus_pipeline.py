@@ -14,17 +14,13 @@ def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; of its repeated rows one. Rows without doc_id stay unless a group has another."""
-    groups = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("__first"))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("__first"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the row with the smallest doc_id (null last); of its repeated rows one."""
+    return simhash.distinct(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage of weight; all columns as they were."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    clean = found.filter("not contaminated").select(F.col("doc_id").alias("__id"))
-    return docs.join(clean, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

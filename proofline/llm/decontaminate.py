@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from proofline.llm.common import cut, keyed
+from proofline.llm.common import cut, keyed, marked
 
 WINDOW = 13
 LISTS = 3  # posting lists that are intersected
-BROADCAST_ROWS = 300_000  # small rows that a broadcast may hold; beyond it joins shuffle
+BROADCAST_BYTES = 32 << 20  # that a broadcast may hold, by a count before it; beyond it joins shuffle
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -25,9 +25,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(small, _GAP), "")
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most limit rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _small(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows, of `size` bytes each, are no more than limit bytes."""
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else df
+
+
+def _small_terms(df: DataFrame) -> DataFrame:
+    return _small(df, F.octet_length("term") + 16)
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -47,14 +51,14 @@ def candidates(docs: DataFrame, phrases: DataFrame, lists: int = LISTS) -> DataF
     """(rid, d, start, size): where the rarest terms of a phrase (phrase, size) all stand at their offsets."""
     offsets = phrases.select("phrase", "size", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
     offsets = cut(offsets)
-    vocabulary = _small(offsets.select("term").distinct())
+    vocabulary = _small_terms(offsets.select("term").distinct())
     counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     counts = cut(counts)
     scored = offsets.join(counts, "term", "left").groupBy("phrase", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("t"))
     scored = scored.filter("t[0].n > 0").select("phrase", "size", F.slice("t", 1, lists).alias("t"))
     lead = scored.select("phrase", "size", F.size("t").alias("lists"), F.posexplode("t").alias("k", "t")).select("phrase", "size", "lists", "k", "t.term", "t.offset")
     lead = cut(lead.groupBy("term").agg(F.collect_list(F.struct(F.xxhash64("phrase").alias("id"), "size", "lists", "offset")).alias("uses")))
-    found = postings(docs, _small(lead)).select("rid", "d", "pos", F.explode("uses").alias("u"))
+    found = postings(docs, _small(lead, F.octet_length("term") + 16 + 40 * F.size("uses"))).select("rid", "d", "pos", F.explode("uses").alias("u"))
     found = found.select("rid", "d", (F.col("pos") - F.col("u.offset")).alias("start"), "u.id", "u.size", "u.lists").filter("start >= 0")
     full = found.groupBy("rid", "d", "start", "id", "size", "lists").count().filter("count = lists")
     return full.select("rid", "d", "start", "size").distinct()
@@ -67,21 +71,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
     distinct = phrases.select("phrase", "size").distinct()
     found = candidates(rows.select("rid", "d", "text"), distinct)
     places = cut(found.groupBy("rid", "d").agg(F.collect_set(F.struct("start", "size")).alias("places")))
-    split = rows.join(_small(places, BROADCAST_ROWS // 10), ["rid", "d"], "left").select("doc_id", "rid", "d", words(F.col("text")).alias("w"), "places")
+    split = rows.join(_small(places, 32 + 24 * F.size("places")), ["rid", "d"], "left").select("doc_id", "rid", "d", words(F.col("text")).alias("w"), "places")
     taken = split.select("doc_id", "rid", "d", F.size("w").alias("n_words"), F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), F.array_join(F.slice("w", p["start"] + 1, p["size"]), " ").alias("phrase"))).alias("p"))
     taken = cut(taken)
     hits = taken.filter("p is not null").select("rid", "d", F.explode("p").alias("p")).select("rid", "d", "p.start", "p.size", "p.phrase").distinct()
     return hits.join(phrases, ["phrase", "size"]), taken.select("doc_id", "rid", "d", "n_words")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A document word within an occurrence of a benchmark window is hit; contaminated: n_hit > 0 and 20 * n_hit >= n_words.
-    Null, empty and word-free texts have no words and no hits; so have null and word-free items. Rows that repeat both
-    doc_id and text are one document, each returned with its result. An empty benchmark leaves every document clean, an
-    empty table gives no rows; other columns are not read.
-    """
+def _report(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """contamination() with rid and d of each row."""
     hits, counts = matches(docs, benchmark, window)
     spans = hits.groupBy("rid", "d").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("s"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
@@ -92,10 +90,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         lambda a: a["n"],
     )
     spans = spans.select("rid", "d", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
-    out = counts.join(spans, ["rid", "d"], "left").select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"))
+    out = counts.join(spans, ["rid", "d"], "left").select("rid", "d", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A document word within an occurrence of a benchmark window is hit; contaminated: n_hit > 0 and 20 * n_hit >= n_words.
+    Null, empty and word-free texts have no words and no hits; so have null and word-free items. Rows that repeat both
+    doc_id and text are one document, each returned with its result. An empty benchmark leaves every document clean, an
+    empty table gives no rows; other columns are not read.
+    """
+    return _report(docs, benchmark, window).drop("rid", "d")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs that contamination() does not call contaminated, each judged by its own text; all columns stay."""
+    bad = _report(docs, benchmark, window).filter("contaminated").select(F.col("d").alias("__d"), F.col("rid").alias("__rid"))
+    return marked(docs).join(bad, ["__d", "__rid"], "left_anti").select(docs.columns)
+
+
 def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach: int = 26, share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, start, shared): document spans of `reach` words around a window's rarest term that hold at least
     `share` of the window's distinct words in any order.
@@ -105,9 +120,9 @@ def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach
     rows = keyed(docs)
     phrases = cut(windows(benchmark, window))
     vocabulary = phrases.select("item_id", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term"))
-    counts = rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(_small(vocabulary.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(_small_terms(vocabulary.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     rare = vocabulary.join(counts, "term").groupBy("item_id", "phrase").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
-    posts = postings(rows, _small(rare.select("term").distinct())).groupBy("rid", "d").agg(F.collect_set(F.struct("pos", "term")).alias("places"))
+    posts = postings(rows, _small_terms(rare.select("term").distinct())).groupBy("rid", "d").agg(F.collect_set(F.struct("pos", "term")).alias("places"))
     near = rows.join(posts, ["rid", "d"]).select("doc_id", words(F.col("text")).alias("w"), "places")
     around = near.select("doc_id", F.explode(F.transform("places", lambda p: F.struct(p["term"].alias("term"), F.greatest(p["pos"] - reach // 2, F.lit(0)).alias("start"), F.slice("w", F.greatest(p["pos"] - reach // 2, F.lit(0)) + 1, reach).alias("span")))).alias("p")).select("doc_id", "p.*")
     wanted = F.array_distinct(F.split("phrase", " "))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from proofline.llm.common import cut
+from proofline.llm.common import cut, keyed, marked
 from proofline.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -33,15 +33,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, fp long) of every row; keys are columns of longs."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(fp)], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*(F.col(k).cast("long").alias(k) for k in keys), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
 def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -193,3 +193,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         fp.join(joined.join(roots, "component").select("fp", "component_id"), "fp")
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
+
+
+def distinct(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each group of near duplicates: that of the smallest doc_id (null last), then of the smallest hash
+    of its text. Rows that repeat doc_id and text are one. All columns stay; an empty table gives none.
+    """
+    fp = cut(fingerprints(keyed(docs), ("doc_id", "d", "rid")))
+    firsts = fp.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "d", "rid")).alias("first"))
+    groups = components(links(firsts.select("fp"), radius))
+    joined = firsts.join(groups, firsts.fp == groups.node, "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    kept = joined.select(F.col("first.d").alias("__d"), F.col("first.rid").alias("__rid"))
+    return marked(docs).join(kept, ["__d", "__rid"], "left_semi").dropDuplicates(["__d", "__rid"]).select(docs.columns)
