@@ -52,8 +52,9 @@ def repeated(rows, window=100):
     return out
 
 
-@pytest.mark.parametrize("rows", [100_000, 200])
-def test_suffix_dedup(docs, rows):
+@pytest.mark.parametrize("rows, ranges", [(100_000, 65_536), (200, 65_536), (200, 3)])
+def test_suffix_dedup(docs, rows, ranges, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MAX_RANGES", ranges)
     want = repeated([(r.doc_id, r.text) for r in docs.collect()])
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(docs, range_rows=rows).collect()}
     assert got == want
@@ -66,6 +67,10 @@ def test_suffix_dedup_of_long_and_periodic_texts(spark, monkeypatch):
     rows = [(1, base), (2, "q" * 350), (3, base[500:2500] + "zz"), (4, "abc" * 200), (5, "é" * 90)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(spark.createDataFrame(rows, "doc_id long, text string"), range_rows=50).collect()}
     assert got == repeated(rows)
+    raw = (base * 2).encode()
+    pieces = suffix_dedup.anchors(raw)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1_000_000)
+    assert all((a == b).all() for a, b in zip(pieces, suffix_dedup.anchors(raw)))
 
 
 def test_multikey_quicksort():
@@ -190,6 +195,19 @@ def test_links_in_blocks_join_what_whole_buckets_join(spark):
     assert parts[0] == parts[1]
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b c d e f", "p"), (1, "quite another text of its own here", "q"), (None, "a b c d e f", "r"), (None, "one more of them that stands alone", "s"), (None, "and another one which has no number", "t"), (2, "a b c d e f", "u"), (2, "a b c d e f", "u"), (3, None, "v"), (4, "", "w")]
+    got = simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string, fp string"))
+    assert got.columns == ["doc_id", "text", "fp"] and sorted(r.fp for r in got.collect()) == ["p", "q", "s", "t", "v"]
+
+
+def test_rows_that_share_an_id_are_judged_alone(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    rows = [(1, "so alpha beta gamma it is"), (1, "clean"), (None, "alpha beta gamma"), (None, "clean too"), (None, None)]
+    got = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(str(r.text) for r in got) == ["None", "clean", "clean too"]
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (7, 7)], "u long, v long")
     got = dict(map(tuple, components(e).collect()))
@@ -216,6 +234,14 @@ def test_nearest_neighbours(spark):
     assert hit >= 0.9 * 5 * len(found)
 
 
+def test_clustered_vectors_need_few_lists():
+    rng = np.random.default_rng(3)
+    spread, centres = rng.normal(size=(3000, 32)), rng.normal(size=(60, 32)) * 8
+    tight = centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 32))
+    few, many = (ivfpq.probes_for(ivfpq.fit(x, 60, 0), x) for x in (tight, spread))
+    assert few <= 6 < many <= 60
+
+
 def test_vectors_that_take_no_part(spark):
     inf = float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [inf, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (50, [0.0, 2.0])]
