@@ -139,9 +139,9 @@ def _contexts(batches, window: int, gram: int, splitters: list):
     """The bytes around each repeated anchor and the range they belong to; those that equal an earlier one of the batch are settled at once."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
-        rows = []
-        settled = []
-        seen: dict = {}
+        rows: list = []
+        settled: list = []
+        seen: set = set()
         docs = sorted(zip(b.column("d").to_pylist(), b.column("rid").to_pylist(), range(b.num_rows)))
         packs, places = b.column("z"), b.column("places")
         for d, r, i in docs:
@@ -153,16 +153,21 @@ def _contexts(batches, window: int, gram: int, splitters: list):
                     if len(back) + len(ahead) >= window:
                         settled.append((d, r, p - len(back), p + len(ahead)))
                     continue
-                seen[ahead, back] = 1
+                seen.add((ahead, back))
                 rows.append((bisect_right(splitters, (ahead, d, r, p)), d, r, p, ahead, back))
-        for s in range(0, max(len(rows), len(settled)), 20_000):
-            x, y = rows[s : s + 20_000], settled[s : s + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*(t[0] for t in x), *([None] * len(y))], pa.int32()), pa.array([*(t[1] for t in x), *(t[0] for t in y)], pa.int64()), pa.array([*(t[2] for t in x), *(t[1] for t in y)], pa.int64()),
-                 pa.array([*(t[3] for t in x), *(t[2] for t in y)], pa.int32()), pa.array([*([None] * len(x)), *(t[3] for t in y)], pa.int32()),
-                 pa.array([*(t[4] for t in x), *([None] * len(y))], pa.binary()), pa.array([*(t[5] for t in x), *([None] * len(y))], pa.binary())],
-                ["bucket", "d", "rid", "pos", "stop", "ahead", "back"],
-            )
+            if len(rows) + len(settled) > 20_000:
+                yield _context_batch(rows, settled)
+                rows, settled = [], []
+        yield _context_batch(rows, settled)
+
+
+def _context_batch(x: list, y: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([*(t[0] for t in x), *([None] * len(y))], pa.int32()), pa.array([*(t[1] for t in x), *(t[0] for t in y)], pa.int64()), pa.array([*(t[2] for t in x), *(t[1] for t in y)], pa.int64()),
+         pa.array([*(t[3] for t in x), *(t[2] for t in y)], pa.int32()), pa.array([*([None] * len(x)), *(t[3] for t in y)], pa.int32()),
+         pa.array([*(t[4] for t in x), *([None] * len(y))], pa.binary()), pa.array([*(t[5] for t in x), *([None] * len(y))], pa.binary())],
+        ["bucket", "d", "rid", "pos", "stop", "ahead", "back"],
+    )
 
 
 def words_of(strings: list[bytes], width: int) -> np.ndarray:
