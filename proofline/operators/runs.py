@@ -106,7 +106,8 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     is_bool = F.schema_of_variant(F.try_variant_get(v, "$.correct", "variant")) == "BOOLEAN"
     right = F.when(is_bool, F.try_variant_get(v, "$.correct", "boolean"))
     c = F.try_variant_get(v, "$.confidence", "double")
-    status = F.when(right.isNull(), "unparseable").when(right, "pass").otherwise("fail")
+    unsure = F.coalesce(F.try_variant_get(v, "$.correct", "string") == "cannot_decide", F.lit(False))
+    status = F.when(unsure, "cannot_decide").when(right.isNull(), "unparseable").when(right, "pass").otherwise("fail")
     return replies.select("item_id", status.alias("status"), F.when(right.isNotNull() & c.between(0, 1), F.round(c, 6)).alias("confidence"), F.when(right == F.lit(False), F.try_variant_get(v, "$.instead", "string")).alias("instead"))
 
 

@@ -31,6 +31,10 @@ PROJECTIONS = {
     "second_run": f"""SELECT CAST(doc_id AS STRING) AS item_id, CASE WHEN doc_id % 37 = 0 THEN 'romance.pt' WHEN doc_id % 13 = 0 THEN 'romance.es' ELSE {TRUTH} END AS value FROM {{documents}} WHERE doc_id % 43 <> 0""",
     "ratings": """SELECT CAST(d.doc_id AS STRING) AS item_id, CAST(length(d.text) AS DOUBLE) AS score, l.quality = 0 AS error FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id""",
     "spend": "SELECT event_id AS seq, CAST(round(value * 100) AS BIGINT) AS cents FROM {events}",
+    "claim_replies": """SELECT CAST(doc_id AS STRING) AS item_id, CASE WHEN doc_id % 13 = 0 THEN 'none of it' WHEN doc_id % 17 = 0 THEN '{{"claims": []}}' ELSE concat('So: {{"claims": [{{"claim": "one", "supported": ', CASE WHEN doc_id % 3 = 0 THEN 'false' ELSE 'true' END,
+      '}}, {{"claim": "two", "supported": true}}, {{"claim": "three", "supported": ', CASE WHEN doc_id % 5 = 0 THEN 'false' ELSE 'true' END, '}}], "missing": "', CASE WHEN doc_id % 4 = 0 THEN 'the date' ELSE '' END, '"}}') END AS reply FROM {documents}""",
+    "ratings_boxes": """SELECT CAST(doc_id AS STRING) AS item_id, CASE WHEN doc_id % 6 = 0 THEN 'made_up' WHEN doc_id % 8 = 0 THEN 'missing' ELSE 'none' END AS label FROM {documents} WHERE doc_id % 2 = 0""",
+    "run_index": """SELECT * FROM (VALUES ('audit', 'r1', TIMESTAMP '2024-01-01 00:00:00'), ('audit', 'r3', TIMESTAMP '2024-02-01 00:00:00'), ('audit', 'r2', TIMESTAMP '2024-02-01 00:00:00'), ('other', 'r9', TIMESTAMP '2024-03-01 00:00:00')) AS t(project, run_id, ended)""",
     "migration": "SELECT * FROM (VALUES ('germanic.en', 'west.en'), ('germanic.de', 'west.de'), ('romance.fr', 'south'), ('romance.es', 'south'), ('germanic', CAST(NULL AS STRING))) AS t(old, new)",
     "replies": """SELECT CAST(doc_id AS STRING) AS item_id, CASE WHEN doc_id % 11 = 0 THEN 'no idea' WHEN doc_id % 9 = 0 THEN '{{"correct": "true", "confidence": 2.5}}' WHEN doc_id % 2 = 0 THEN '{{"correct": false, "confidence": 0.75, "instead": "romance.fr"}}' ELSE 'So: {{"correct": true, "confidence": 0.9}} done' END AS reply FROM {documents}""",
 }

@@ -55,7 +55,7 @@ _MASK = "regexp_replace(regexp_replace(regexp_replace(source, '\\b([0-9]{4})-([0
 _CAND = f"regexp_extract_all({_MASK}, '[0-9][0-9,. ]*')"
 _add("c01_normalise", "items", lambda i: i.select("item_id", F.sha2(C.normalise(F.col("text")), 256).alias("digest")), "SELECT item_id, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))) AS digest FROM items_r")
 _add("c02_parse_number", "copied", lambda c: c.select("item_id", C.parse_number(F.col("number")).alias("number")), f"SELECT item_id, {_NUM('number')} AS number FROM copied_r")
-_add("c03_parse_date", "copied", lambda c: c.select("item_id", C.parse_date(F.col("date")).cast("string").alias("date")), "SELECT item_id, CASE WHEN regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN TRY_CAST(date AS DATE)::VARCHAR WHEN date = 'March 3, 1996' THEN '1996-03-03' END AS date FROM copied_r")
+_add("c03_parse_date", "copied", lambda c: c.select("item_id", C.parse_date(F.col("date")).cast("string").alias("date")), "SELECT item_id, CASE WHEN regexp_matches(date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN TRY_CAST(date AS DATE)::VARCHAR WHEN regexp_matches(date, '^[A-Z][a-z]+ [0-9]{1,2}, [0-9]{4}$') THEN try_strptime(date, '%B %d, %Y')::DATE::VARCHAR END AS date FROM copied_r")
 _add("c04_candidates", "copied", lambda c: c.select("item_id", F.array_join(C.candidates(F.col("source"), "number"), "|").alias("spans")), f"SELECT item_id, array_to_string({_CAND}, '|') AS spans FROM copied_r")
 _add("c08_value_shape", "copied", lambda c: C.value_shape(c, "number", "number"), f"SELECT item_id, CASE WHEN {_NUM('number')} IS NULL THEN 'fail' ELSE 'pass' END AS status FROM copied_r WHERE trim(number) <> ''")
 _HELD = f"x AS (SELECT item_id, {_NUM('number')} AS v, {_CAND} AS c FROM copied_r), y AS (SELECT item_id, v, len(c) AS candidates, list_bool_or(list_transform(c, lambda z: coalesce({_NUM('z')} = v, false))) AS hit FROM x), z AS (SELECT item_id, CASE WHEN v IS NULL THEN 'unscored' WHEN hit THEN 'pass' ELSE 'fail' END AS status, candidates FROM y)"
@@ -137,8 +137,10 @@ _add("k02_outcome_by_item", "outputs taxonomy", lambda o, t: R.outcome_by_item(_
 _add("k05_changes", "outputs second_run taxonomy", lambda o, s, t: R.changes(R.outcome_by_item(A.label_in_taxonomy(o, t)), R.outcome_by_item(A.label_in_taxonomy(s, t))), f"a AS (SELECT item_id, path IS NOT NULL AS ok FROM outputs_r LEFT JOIN taxonomy_r ON path = value WHERE NOT {DECLINES}), b AS (SELECT item_id, path IS NOT NULL AS ok FROM second_run_r LEFT JOIN taxonomy_r ON path = value WHERE NOT {DECLINES}) SELECT CASE WHEN a.ok IS NULL THEN 'only_in_b' WHEN b.ok IS NULL THEN 'only_in_a' WHEN a.ok = b.ok THEN 'unchanged' WHEN b.ok THEN 'improved' ELSE 'regressed' END AS change, count(*) AS n FROM a FULL JOIN b USING (item_id) GROUP BY 1")
 _add("k06_distribution_shift", "outputs second_run migration", R.distribution_shift, "a AS (SELECT new AS label, count(*) / sum(count(*)) OVER () AS s FROM outputs_r JOIN migration_r ON old = value WHERE new IS NOT NULL GROUP BY new), b AS (SELECT new AS label, count(*) / sum(count(*)) OVER () AS s FROM second_run_r JOIN migration_r ON old = value WHERE new IS NOT NULL GROUP BY new) SELECT coalesce(a.label, b.label) AS label, round(coalesce(a.s, 0), 6) AS before, round(coalesce(b.s, 0), 6) AS after, round_even(coalesce(b.s, 0) - coalesce(a.s, 0), 4) AS delta FROM a FULL JOIN b ON a.label = b.label")
 _add("z01_stability", "generations", R.stability, "g AS (SELECT item_id, count(DISTINCT value) AS v FROM generations_r GROUP BY item_id HAVING count(*) > 1), s AS (SELECT count(*) AS items, count(*) FILTER (v = 1) AS agreed FROM g) SELECT items, agreed, round(agreed / items, 6) AS stability, CASE WHEN items = 0 THEN 'unscored' WHEN agreed >= 0.9 * items THEN 'pass' ELSE 'fail' END AS status FROM s")
-_add("q01_parse_replies", "replies", R.parse_replies, "e AS (SELECT item_id, TRY_CAST(nullif(regexp_extract(reply, '(?s)\\{.*\\}'), '') AS JSON) AS j FROM replies_r), v AS (SELECT item_id, CASE WHEN json_type(j, '$.correct') = 'BOOLEAN' THEN (j->>'$.correct')::BOOLEAN END AS ok, (j->>'$.confidence')::DOUBLE AS c, j->>'$.instead' AS i FROM e) SELECT item_id, CASE WHEN ok IS NULL THEN 'unparseable' WHEN ok THEN 'pass' ELSE 'fail' END AS status, CASE WHEN ok IS NOT NULL AND c BETWEEN 0 AND 1 THEN round(c, 6) END AS confidence, CASE WHEN ok = false THEN i END AS instead FROM v")
+_add("q01_parse_replies", "replies", R.parse_replies, "e AS (SELECT item_id, TRY_CAST(nullif(regexp_extract(reply, '(?s)\\{.*\\}'), '') AS JSON) AS j FROM replies_r), v AS (SELECT item_id, CASE WHEN json_type(j, '$.correct') = 'BOOLEAN' THEN (j->>'$.correct')::BOOLEAN END AS ok, (j->>'$.confidence')::DOUBLE AS c, j->>'$.instead' AS i, coalesce(j->>'$.correct' = 'cannot_decide', false) AS d FROM e) SELECT item_id, CASE WHEN d THEN 'cannot_decide' WHEN ok IS NULL THEN 'unparseable' WHEN ok THEN 'pass' ELSE 'fail' END AS status, CASE WHEN ok IS NOT NULL AND c BETWEEN 0 AND 1 THEN round(c, 6) END AS confidence, CASE WHEN ok = false THEN i END AS instead FROM v")
 _add("q07_scripted_collection", "items", lambda i: R.collect(i.select("item_id", F.col("text").alias("prompt")), R.scripted_provider("judge-a")))
 _add("b01_cache_keys", "outputs", lambda o: R.cache_keys(o, "judge-a", "scripted", "v1", "lang"), "SELECT item_id, sha256(concat_ws(chr(0), 'judge-a', 'scripted', 'v1', item_id, 'lang', coalesce(value, ''))) AS key FROM outputs_r")
 _add("b02_budget", "spend", lambda s: R.budget(s, 1_000_000), "w AS (SELECT seq, cents, coalesce(sum(cents) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM spend_r) SELECT seq, cents, CASE WHEN spent < 1000000 THEN 'called' ELSE 'unscored' END AS status FROM w")
 _add("b03_plan", "items", R.plan, "SELECT count(*) AS calls, sum(length(text) // 4)::BIGINT AS tokens, round(sum(length(text) // 4) / 1e6, 6) AS dollars FROM items_r")
+
+from proofline.plans import evidence_queries  # noqa: E402, F401  its queries add themselves

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofline.functions import gates, settings, taxonomy
-from proofline.operators import assigned, copied, free_text, metrics, ranking, runs
+from proofline.operators import assigned, copied, evidence as E, free_text, metrics, ranking, runs, runs as R
 from proofline.sources import readers, writers
 from proofline.streaming import live
 
@@ -150,3 +150,22 @@ def test_stream_counts_what_a_batch_counts(spark, tmp_path):
 
 def test_empty_outputs_are_unscored(spark):
     assert assigned.abstention_rate(spark.createDataFrame([], "item_id string, value string")).first().status == "unscored"
+
+
+def test_claims_and_verdicts_from_replies(spark):
+    rows = [("a", 'x {"claims": [{"claim": "p", "supported": true}, {"claim": "q", "supported": 0}, {"claim": "r"}], "missing": " m "} y'), ("b", "{}"), ("c", None), ("d", '{"claims": [{"supported": null}]}'), ("e", '{"claims": [{"supported": "yes"}]}')]
+    got = {r.item_id: tuple(r)[1:] for r in E.parse_claims(spark.createDataFrame(rows, "item_id string, reply string")).collect()}
+    assert got["a"] == (2, 1, 0.5, "fail", 0.5, "m") and got["b"] == got["c"] == (None, None, None, "unparseable", None, None)
+    assert got["d"][3:5] == ("fail", 1.0) and got["e"][3:5] == ("pass", 1.0)
+    said = R.parse_replies(spark.createDataFrame([("a", '{"correct": "cannot_decide"}'), ("b", '{"correct": "true"}')], "item_id string, reply string"))
+    assert sorted(r.status for r in said.collect()) == ["cannot_decide", "unparseable"]
+
+
+def test_resampled_intervals_hold_the_point(spark):
+    rows = [(str(i), float(i % 7)) for i in range(300)] + [(str(i), float(i % 5)) for i in range(300)]
+    r = E.bootstrap_ci(spark.createDataFrame(rows, "item_id string, value double"), E.weighted_mean, resamples=200).first()
+    assert r.low < sum(v for _, v in rows) / 600 < r.high and r.resamples == 200
+    scored = spark.createDataFrame([(float(i), i % 3 == 0 or i > 250) for i in range(300)], "score double, error boolean")
+    q = E.recall_interval(scored, 0.1, 200).first()
+    assert q.low < 30 / 133 < q.high
+    assert E.recall_interval(scored.limit(50), 0.1, 20).first().resamples == 0
