@@ -11,7 +11,7 @@ from proofline.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4  # a pair at 0.8 collides with probability 1 - (1 - 0.8**4)**16 = 0.9998
-LEAST_WORDS = 20  # shorter paragraphs stay
+LEAST_WORDS = 20  # the default of duplicates(); shorter paragraphs stay
 CELL_ROWS = 2048
 BROADCAST_LINES = 300_000  # of documents to read again; beyond it they are joined by a shuffle
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -78,7 +78,17 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def bands_of(words: np.ndarray, similarity: float) -> np.ndarray:
+    """Bands that a paragraph of so many words needs, so that none it is like is missed for want of the others.
+
+    Under SHINGLE words its one shingle is that of equal paragraphs only, which have one id: no band. Sets of n shingles
+    whose n / (n + 1) is under the similarity are like equal sets only, which share every band: the first.
+    """
+    n = words - SHINGLE + 1
+    return np.where(n < 1, 0, np.where(n < similarity * (n + 1) - 1e-9, 1, BANDS))
+
+
+def paragraphs(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(d, rid, line, n_words, id, bands) of docs (d, rid, text)."""
 
     def run(batches):
@@ -86,7 +96,8 @@ def paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
             d, rid, texts = b.column("d").to_numpy(), b.column("rid").to_numpy(), b.column("text").to_pylist()
             for row, line, size, whole, h, offsets in shingled(texts, least):
                 keys = signatures(h, offsets).view(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+                need = bands_of(size, similarity)
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(need))).astype(np.int32)), pa.array(keys[np.arange(BANDS) < need[:, None]]))
                 yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(rid[row]), pa.array(line.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(whole.view(np.int64)), bands], ["d", "rid", "line", "n_words", "id", "bands"])
 
     return docs.select("d", "rid", "text").mapInArrow(run, "d long, rid long, line int, n_words int, id long, bands array<long>")
@@ -173,19 +184,19 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SI
     case) have a Jaccard similarity of `similarity` or more; classes are the components of that relation. The first of a
     class by doc_id, then line stays, the others are removed. Candidates share one of 16 bands of four MinHash values. Equal
     paragraphs are one candidate, and a bucket of over cell_rows different ones is dealt into blocks that are compared in
-    pairs. Null, empty and short texts have no such paragraph; a null doc_id counts as the least. Rows that repeat doc_id
+    pairs. A paragraph of under five words is one shingle. Null and empty texts have no paragraph; a null doc_id counts as the least. Rows that repeat doc_id
     and text are one document. An empty table gives none; other columns are not read.
     """
     spark = docs.sparkSession
     rows = keyed(docs)
     base = rows.select("d", "rid", "text")
-    found = cut_table(paragraphs(base, least))
+    found = cut_table(paragraphs(base, least, similarity))
     classes = found.groupBy("id").agg(F.min(F.struct("d", "line", "rid")).alias("first"), F.first("bands").alias("bands"))
     bands = classes.select("id", F.explode("bands").alias("key"))
     over = Window.partitionBy("key")
     meeting = cut(bands.withColumn("n", F.count("*").over(over)).filter("n > 1"))
-    places = found.select("id", "d", "rid", "line").join(meeting.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("d", "rid", "line")).alias("p"))
-    places = cut(places.groupBy("p.d", "p.rid").agg(F.collect_set("p.line").alias("lines")))
+    places = classes.select("id", "first").join(meeting.select("id").distinct(), "id", "left_semi")
+    places = cut(places.groupBy("first.d", "first.rid").agg(F.collect_set("first.line").alias("lines")))
     few = (places.agg(F.sum(F.size("lines") + 2)).first()[0] or 0) <= BROADCAST_LINES
     sets = cut_table(_sets(base.join(F.broadcast(places) if few else places, ["d", "rid"]).select("text", "lines")))
     rows_of = meeting.withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))

@@ -19,7 +19,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.duplicates(table(spark, sf_dir, "documents"))
+    return paragraph_dedup.duplicates(table(spark, sf_dir, "documents"), least=1)
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from proofline.llm import decontaminate, hilbert, ivfpq, paragraph_dedup, quality, secrets, sentencepiece_codec as codec, simhash, suffix_dedup, toxicity
+from proofline.llm import decontaminate, hilbert, ivfpq, paragraph_dedup, quality, queries, secrets, sentencepiece_codec as codec, simhash, suffix_dedup, toxicity
 from proofline.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -133,6 +133,40 @@ def test_paragraph_dedup(docs):
         assert got == want
 
 
+def alike_lines(rows):
+    """(doc_id, line) -> ((keep_doc_id, keep_line), removed) of all lines that have a like one, by comparing every pair."""
+    paras = []
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            if w := spaced(line):
+                paras.append(((i, k), frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))))
+    root = {p: p for p, _ in paras}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (p, s), (q, t) in itertools.combinations(paras, 2):
+        both = len(s & t)
+        if both and both >= 0.8 * (len(s) + len(t) - both) and find(p) != find(q):
+            a, b = sorted((find(p), find(q)))
+            root[b] = a
+    size = Counter(find(p) for p, _ in paras)
+    return {p: (find(p), p != find(p)) for p, _ in paras if size[find(p)] > 1}
+
+
+def test_paragraphs_of_every_length(spark, docs):
+    shape = lambda df: {(r.doc_id, r.line): ((r.keep_doc_id, r.keep_line), r.removed) for r in df.collect()}
+    want = alike_lines((r.doc_id, r.text) for r in docs.collect())
+    assert any(len(spaced(r.text.split("\n")[k])) < 20 for r in docs.collect() for i, k in want if i == r.doc_id)
+    assert shape(queries.op3_paragraph_dedup(spark, SF)) == want
+    words = [f"w{k}" for k in range(20)]
+    cut_at = [(n, " ".join(words[:n])) for n in range(1, 20)]
+    rows = cut_at + [(100 + n, t) for n, t in cut_at] + [(200, "x x x x x"), (201, "X x x x x x x x x x"), (202, "x x x x"), (203, "One\n\none\ntwo one"), (204, "w0 w1 w2 w3 w4 w5 w6 other")]
+    assert shape(paragraph_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string"), least=1)) == alike_lines(rows)
+
+
 def test_hilbert(docs):
     points = np.array(list(itertools.product(range(8), repeat=3)))
     index = hilbert.hilbert_index(points, 3)
