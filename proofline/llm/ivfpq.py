@@ -14,7 +14,7 @@ SAMPLE_ROWS = 20_000  # vectors that the index is fitted on
 PARTS, CODES = 16, 256
 MOST_LISTS = 4096
 BLOCK_ROWS = 8192  # rows of a list that one task holds
-RERANK = 32  # rows of a block that are compared exactly, for each query
+RERANK = 32  # rows of a block that are compared exactly first, for each query; they set how far the others are compared
 TOP = 5
 REACH = 0.96  # share of the sample's true neighbours that must lie in the probed lists
 TUNED_QUERIES = 256
@@ -100,8 +100,9 @@ def search(vectors: DataFrame, every: int = 50, top: int = TOP, lists: int | Non
     The index is fitted on at most SAMPLE_ROWS vectors, the first by a hash of vec_id; every vector is indexed. There are
     about four lists for each square root of the rows, MOST_LISTS at most; as many of them (16 at least) are probed as hold
     a share REACH of the true neighbours within the sample, so clustered vectors need few and scattered ones many. A list is dealt into blocks of BLOCK_ROWS, so equal vectors that fill one list are spread over tasks; each block ranks
-    its codes by asymmetric distances, compares RERANK rows exactly in double precision and passes on its best. Ties go
-    to the smaller vec_id throughout. Vectors null, zero, of another length than most, or with null or non-finite
+    its codes by asymmetric distances, compares the best RERANK in double precision, then every row that the quantisation
+    error, known part by part, would let reach the best of these, and passes on its best: within the probed lists the result
+    is exact. Ties go to the smaller vec_id throughout. Vectors null, zero, of another length than most, or with null or non-finite
     components take no part, and neither do null ids; of rows that share a vec_id one counts. No vector but the query's own,
     or an empty table: no rows. Other columns are not read.
     """
@@ -151,15 +152,26 @@ def search(vectors: DataFrame, every: int = 50, top: int = TOP, lists: int | Non
         x, q = _matrix(left.column("v").combine_chunks()), _matrix(right.column("v").combine_chunks())
         norm, qnorm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         ix = Index(**shared.value)
+        centre, parts = ix.centroids[left.column("list")[0].as_py()], np.arange(codes.shape[1])[:, None]
+        error = np.linalg.norm(_split(x / norm[:, None] - centre, len(parts)) - ix.codebooks[parts, codes.T], axis=2).astype(np.float32)
+        slack = 4 * np.finfo(np.float32).eps * (x.shape[1] + len(parts))  # rounding of the asymmetric scores
+        first = min(len(ids), max(RERANK, top) + 1)
         out: list[list] = [[], [], []]
         for s in range(0, len(q), 64):
             unit = (q[s : s + 64] / qnorm[s : s + 64, None]).astype(np.float32)
             tables = np.einsum("pqd,pcd->qpc", _split(unit, len(ix.codebooks)), ix.codebooks)
             near = sum(tables[:, p, codes[:, p]] for p in range(codes.shape[1]))
+            near += (unit @ centre)[:, None]
             near[ids[None, :] == qids[s : s + 64, None]] = -np.inf
-            best = np.argsort(-near, axis=1, kind="stable")[:, : RERANK + 1]
+            best = np.argpartition(-near, first - 1, axis=1)[:, :first]
+            reach = near + np.linalg.norm(_split(unit, len(ix.codebooks)), axis=2).T @ error + slack
             for k in range(len(unit)):
-                at = best[k][ids[best[k]] != qids[s + k]]
+                at = best[k]
+                for last in (False, True):
+                    at = at[ids[at] != qids[s + k]]
+                    score = x[at] @ q[s + k] / (norm[at] * qnorm[s + k])
+                    least = np.partition(score, len(at) - top)[len(at) - top] if len(at) >= top else -np.inf
+                    at = at[score >= least - 1e-9] if last else np.flatnonzero(reach[k] >= least)
                 score = (x[at] * q[s + k]).sum(axis=1) / (norm[at] * qnorm[s + k])
                 keep = np.lexsort((ids[at], -score))[:top]
                 out[0].append(np.full(len(keep), qids[s + k]))

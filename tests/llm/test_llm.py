@@ -268,6 +268,20 @@ def test_nearest_neighbours(spark):
     assert hit >= 0.9 * 5 * len(found)
 
 
+@pytest.mark.parametrize("spread", [1e-2, 1e-7, 0.0])
+def test_near_copies_that_fill_a_list(spark, spread):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(1, 24)) + rng.normal(size=(n, 24)) * s for n, s in ((700, spread), (500, spread), (300, 1.0))])
+    x = x[rng.permutation(len(x))]
+    got: dict = {}
+    for r in ivfpq.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), lists=3, probes=3).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    for q in range(0, len(x), 50):
+        s = (x * x[q]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[q] * x[q]).sum()))
+        s[q] = -9
+        assert [got[q][k] for k in range(1, 6)] == np.lexsort((np.arange(len(x)), -s))[:5].tolist()
+
+
 def test_clustered_vectors_need_few_lists():
     rng = np.random.default_rng(3)
     spread, centres = rng.normal(size=(3000, 32)), rng.normal(size=(60, 32)) * 8
