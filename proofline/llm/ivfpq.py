@@ -63,9 +63,13 @@ def fit(vectors: np.ndarray, lists: int, probes: int, parts: int = PARTS) -> Ind
 def probes_for(index: Index, vectors: np.ndarray, top: int = TOP, reach: float = REACH) -> int:
     """Lists to probe: the fewest that hold a share `reach` of the true neighbours, by brute force within the sample.
 
-    Neighbours in all rows are nearer than those in a sample of them, so more rows need no more lists.
+    Neighbours in all rows are nearer than those in a sample of them, so more rows need no more lists. Vectors of one
+    direction count as one, or a large group of copies would stand for the others.
     """
     x = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    x = x[np.sort(np.unique(np.round(x, 6) + np.float32(0), axis=0, return_index=True)[1])]
+    if len(x) < 2:
+        return 1
     asked = np.arange(len(x))[:: max(1, len(x) // TUNED_QUERIES)]
     own, ranks = _nearest(x, index.centroids), []
     for s in range(0, len(asked), 64):

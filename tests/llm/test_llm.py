@@ -290,6 +290,15 @@ def test_clustered_vectors_need_few_lists():
     assert few <= 6 < many <= 60
 
 
+def test_a_group_of_copies_does_not_tune_the_probes():
+    rng = np.random.default_rng(4)
+    spread = rng.normal(size=(2000, 24))
+    copies = np.concatenate((spread, spread[:1] * rng.uniform(0.5, 2, size=(1500, 1))))
+    index = ivfpq.fit(copies, 60, 0)
+    assert ivfpq.probes_for(index, copies) == ivfpq.probes_for(index, spread)
+    assert ivfpq.probes_for(index, copies[2000:]) == 1
+
+
 def test_vectors_that_take_no_part(spark):
     inf = float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [inf, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (50, [0.0, 2.0])]
