@@ -112,19 +112,27 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach: int = 26, share: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, start, shared): document spans of `reach` words around a window's rarest term that hold at least
-    `share` of the window's distinct words in any order.
+    """(doc_id, item_id, start, shared): document spans of `reach` words that hold at least `share` of the distinct words of a
+    benchmark window, in any order; of each document and item the best span, and of equally good ones the first.
 
-    A reworded passage is found as long as it keeps the rarest word. Null and word-free texts match nothing.
+    A window that may miss k words is looked up by its k + 1 rarest, one of which every such span holds; words that no
+    document has are missed already. Each place of one is judged by all spans over it, so every span is found. Null and
+    word-free texts match nothing.
     """
     rows = keyed(docs)
     phrases = cut(windows(benchmark, window))
     vocabulary = phrases.select("item_id", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term"))
     counts = rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(_small_terms(vocabulary.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    rare = vocabulary.join(counts, "term").groupBy("item_id", "phrase").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
+    wanted = F.array_distinct(F.split("phrase", " "))
+    need = F.greatest(F.lit(1), F.ceil(F.size(wanted) * share - 1e-9).cast("int"))
+    rare = vocabulary.join(counts, "term").groupBy("item_id", "phrase").agg(F.sort_array(F.collect_list(F.struct("n", "term"))).alias("t")).withColumn("need", need).filter(F.size("t") >= F.col("need"))
+    rare = cut(rare.select("item_id", "phrase", "need", F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("need") + 1)).alias("t")).select("item_id", "phrase", "need", "t.term"))
     posts = postings(rows, _small_terms(rare.select("term").distinct())).groupBy("rid", "d").agg(F.collect_set(F.struct("pos", "term")).alias("places"))
     near = rows.join(posts, ["rid", "d"]).select("doc_id", words(F.col("text")).alias("w"), "places")
-    around = near.select("doc_id", F.explode(F.transform("places", lambda p: F.struct(p["term"].alias("term"), F.greatest(p["pos"] - reach // 2, F.lit(0)).alias("start"), F.slice("w", F.greatest(p["pos"] - reach // 2, F.lit(0)) + 1, reach).alias("span")))).alias("p")).select("doc_id", "p.*")
-    wanted = F.array_distinct(F.split("phrase", " "))
-    scored = around.join(rare, "term").withColumn("shared", F.size(F.array_intersect("span", wanted)) / F.size(wanted))
-    return scored.filter(F.col("shared") >= share).groupBy("doc_id", "item_id").agg(F.min_by("start", F.struct(-F.col("shared"), "start")).alias("start"), F.max("shared").alias("shared"))
+    first = lambda p: F.greatest(p["pos"] - reach + 1, F.lit(0))
+    around = near.select("doc_id", F.explode(F.transform("places", lambda p: F.struct(p["term"].alias("term"), p["pos"].alias("pos"), first(p).alias("first"), F.slice("w", first(p) + 1, p["pos"] - first(p) + reach).alias("wide")))).alias("p")).select("doc_id", "p.*")
+    held = lambda span: F.size(F.array_intersect(span, wanted))
+    close = around.join(_small(rare, F.octet_length("term") + F.octet_length("phrase") + 40), "term").filter(held("wide") >= F.col("need"))
+    spans = F.transform(F.sequence(F.col("first"), F.col("pos")), lambda s: F.struct(held(F.slice("wide", s - F.col("first") + 1, reach)).alias("n"), (-s).alias("back")))
+    best = close.withColumn("best", F.array_max(spans)).filter(F.col("best.n") >= F.col("need")).withColumn("shared", F.col("best.n") / F.size(wanted)).withColumn("start", -F.col("best.back"))
+    return best.groupBy("doc_id", "item_id").agg(F.min_by("start", F.struct(-F.col("shared"), "start")).alias("start"), F.max("shared").alias("shared"))

@@ -1,4 +1,4 @@
-"""The ten queries of this folder, with production parameters over whole tables."""
+"""The queries of this folder, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -51,5 +51,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_paragraph_dedup, op4_hilbert_shards, op5_simhash, op6_ivfpq, op7_toxicity, op8_secrets, op9_sentencepiece, op10_decontaminate)}
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_paragraph_dedup, op4_hilbert_shards, op5_simhash, op6_ivfpq, op7_toxicity, op8_secrets, op9_sentencepiece, op10_decontaminate, op10_proximity)}
 __all__ = ["ORACLES", "QUERIES"]

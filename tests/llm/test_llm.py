@@ -378,6 +378,25 @@ RUNS = {
 }
 
 
+def test_proximity_finds_every_span_of_the_share(spark):
+    rng = random.Random(6)
+    item = [f"w{k}" for k in range(13)]
+    noise = lambda n: [f"n{rng.randrange(40)}" for _ in range(n)]
+    rows = [(1, noise(30) + item[1:12] + noise(30)), (2, noise(3) + item[2:]), (3, noise(9) + item[:10] + noise(30)), (4, noise(5) + item[:1] + noise(14) + item[3:13] + noise(5)), (5, item[:1] + noise(16) + item[3:13])]
+    rows += [(k, noise(40) + [w for w in rng.sample(item, 13) for w in (w, *noise(rng.randrange(2)))][: rng.randrange(8, 26)] + noise(20)) for k in range(6, 40)]
+    rows += [(100 + k, [w]) for k, w in enumerate(item[3:] * 3)]  # so that w0 to w2 are the rarest
+    want = {}
+    for i, w in rows:
+        best = min((-len(set(w[s : s + 26]) & set(item)), s) for s in range(len(w)))
+        if -best[0] >= 11:
+            want[i] = -best[0] / 13
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = decontaminate.proximity(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.shared for r in got} == pytest.approx(want) and {1, 2, 4} <= set(want) and not {3, 5} & set(want)
+    text = dict(rows)
+    assert all(len(set(text[r.doc_id][r.start : r.start + 26]) & set(item)) == round(r.shared * 13) for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(RUNS))
 def test_edge_cases(spark, edge, name):
     rows = RUNS[name](edge).collect()
