@@ -13,7 +13,7 @@ from proofline.llm.common import cut, keyed, marked
 from proofline.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-BLOCKS = (11, 11, 11, 11, 10, 10)  # of 64 bits: at most 4 differing bits leave two blocks alike
+MOST_RADIUS = 7  # that near() counts to
 BLOCK_ROWS = 4096
 
 
@@ -153,19 +153,27 @@ def _links(batches, radius: int):
         yield solve(held[0], held[1].view(np.uint64), held[2])
 
 
+def blocks_for(radius: int) -> list[int]:
+    """Sizes of blocks of the 64 bits, of which two are alike where at most `radius` bits differ."""
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"a radius of 0 to {MOST_RADIUS} bits is needed, not {radius}")
+    n = radius + 2
+    return [64 // n + (k < 64 % n) for k in range(n)]
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(u, v): links that connect all distinct fingerprints (fp) within radius bits of each other.
 
-    Fingerprints within 4 bits agree on 2 of 6 blocks of bits, so each of the 15 pairs of blocks is a table whose buckets
-    hold every such pair. A bucket of over block_rows fingerprints is dealt into blocks, and each pair of blocks is a
+    Fingerprints within r bits agree on 2 of r + 2 blocks of bits, so each pair of blocks (15 for 4 bits) is a table, and
+    the buckets of all tables hold every such pair. A bucket of over block_rows fingerprints is dealt into blocks, and each pair of blocks is a
     cell of its own: no task holds more than two blocks, and no pair is lost.
     """
     masks, at = [], 0
-    for n in BLOCKS:
+    for n in blocks_for(radius):
         masks.append(((1 << n) - 1) << at)
         at += n
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(masks[i] | masks[j])))) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(masks[i] | masks[j])))) for k, (i, j) in enumerate(combinations(range(len(masks)), 2))])
     rows = distinct.select("fp", F.explode(keys).alias("key"))
     large = rows.groupBy("key").count().filter(F.col("count") > block_rows).select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("n"))
     rows = rows.join(large, "key", "left").select("fp", "key", F.coalesce("n", F.lit(1)).alias("n"))

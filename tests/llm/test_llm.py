@@ -229,6 +229,23 @@ def test_links_in_blocks_join_what_whole_buckets_join(spark):
     assert parts[0] == parts[1]
 
 
+@pytest.mark.parametrize("radius", [0, 1, 5, 7])
+def test_links_of_other_radii(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    apart = [sum(1 << (k * 64 // max(radius, 1) + rng.randrange(9)) for k in range(radius)) for _ in base]  # bits all over
+    fps = np.array([*base, *(b ^ x for b, x in zip(base, apart))], np.uint64).view(np.int64).tolist()
+    got = {frozenset(r) for r in simhash.links(spark.createDataFrame([(f,) for f in set(fps)], "fp long"), radius).collect()}
+    assert got == {frozenset(p) for p in zip(fps[:300], fps[300:]) if p[0] != p[1]}
+
+
+def test_a_radius_that_is_not_counted_is_refused(spark):
+    assert simhash.blocks_for(4) == [11, 11, 11, 11, 10, 10]
+    for radius in (-1, 8):
+        with pytest.raises(ValueError):
+            simhash.links(spark.createDataFrame([(1,)], "fp long"), radius)
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = [(1, "a b c d e f", "p"), (1, "quite another text of its own here", "q"), (None, "a b c d e f", "r"), (None, "one more of them that stands alone", "s"), (None, "and another one which has no number", "t"), (2, "a b c d e f", "u"), (2, "a b c d e f", "u"), (3, None, "v"), (4, "", "w")]
     got = simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string, fp string"))
