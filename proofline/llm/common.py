@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,11 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary
+    one; any other raises, since its executors could not read what another one wrote there.
+    """
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        wanted = spark.conf.get("spark.checkpoint.dir", None)
+        if not wanted and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="checkpoint-"))
         set_dir = sc._jsc.sc().getCheckpointDir()
     return set_dir.get()
 
@@ -36,6 +41,14 @@ def cut_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 32 << 20  # that a broadcast may hold, by a count before it; beyond it joins shuffle
+
+
+def small(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows, of `size` bytes each, are no more than limit bytes."""
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else df
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, d, rid, text): d is doc_id with null as the least long, and (d, rid) names a document.
 

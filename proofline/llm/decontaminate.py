@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from proofline.llm.common import cut, keyed, marked
+from proofline.llm.common import cut, keyed, marked, small
 
 WINDOW = 13
 LISTS = 3  # posting lists that are intersected
-BROADCAST_BYTES = 32 << 20  # that a broadcast may hold, by a count before it; beyond it joins shuffle
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -25,13 +24,8 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(small, _GAP), "")
 
 
-def _small(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its rows, of `size` bytes each, are no more than limit bytes."""
-    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else df
-
-
 def _small_terms(df: DataFrame) -> DataFrame:
-    return _small(df, F.octet_length("term") + 16)
+    return small(df, F.octet_length("term") + 16)
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -58,7 +52,7 @@ def candidates(docs: DataFrame, phrases: DataFrame, lists: int = LISTS) -> DataF
     scored = scored.filter("t[0].n > 0").select("phrase", "size", F.slice("t", 1, lists).alias("t"))
     lead = scored.select("phrase", "size", F.size("t").alias("lists"), F.posexplode("t").alias("k", "t")).select("phrase", "size", "lists", "k", "t.term", "t.offset")
     lead = cut(lead.groupBy("term").agg(F.collect_list(F.struct(F.xxhash64("phrase").alias("id"), "size", "lists", "offset")).alias("uses")))
-    found = postings(docs, _small(lead, F.octet_length("term") + 16 + 40 * F.size("uses"))).select("rid", "d", "pos", F.explode("uses").alias("u"))
+    found = postings(docs, small(lead, F.octet_length("term") + 16 + 40 * F.size("uses"))).select("rid", "d", "pos", F.explode("uses").alias("u"))
     found = found.select("rid", "d", (F.col("pos") - F.col("u.offset")).alias("start"), "u.id", "u.size", "u.lists").filter("start >= 0")
     full = found.groupBy("rid", "d", "start", "id", "size", "lists").count().filter("count = lists")
     return full.select("rid", "d", "start", "size").distinct()
@@ -71,7 +65,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
     distinct = phrases.select("phrase", "size").distinct()
     found = candidates(rows.select("rid", "d", "text"), distinct)
     places = cut(found.groupBy("rid", "d").agg(F.collect_set(F.struct("start", "size")).alias("places")))
-    split = rows.join(_small(places, 32 + 24 * F.size("places")), ["rid", "d"], "left").select("doc_id", "rid", "d", words(F.col("text")).alias("w"), "places")
+    split = rows.join(small(places, 32 + 24 * F.size("places")), ["rid", "d"], "left").select("doc_id", "rid", "d", words(F.col("text")).alias("w"), "places")
     taken = split.select("doc_id", "rid", "d", F.size("w").alias("n_words"), F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), F.array_join(F.slice("w", p["start"] + 1, p["size"]), " ").alias("phrase"))).alias("p"))
     taken = cut(taken)
     hits = taken.filter("p is not null").select("rid", "d", F.explode("p").alias("p")).select("rid", "d", "p.start", "p.size", "p.phrase").distinct()
@@ -79,9 +73,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
 
 
 def _report(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """contamination() with rid and d of each row."""
+    """contamination() with rid and d of each row, and the words of the longest window that it holds."""
     hits, counts = matches(docs, benchmark, window)
-    spans = hits.groupBy("rid", "d").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("s"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    spans = hits.groupBy("rid", "d").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("s"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"), F.max("size").alias("longest"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate(
         "s",
@@ -89,8 +83,8 @@ def _report(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["stop"].cast("long") - F.greatest(s["start"].cast("long"), a["end"]))).alias("n"), F.greatest(a["end"], s["stop"].cast("long")).alias("end")),
         lambda a: a["n"],
     )
-    spans = spans.select("rid", "d", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
-    out = counts.join(spans, ["rid", "d"], "left").select("rid", "d", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"))
+    spans = spans.select("rid", "d", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"), "longest")
+    out = counts.join(spans, ["rid", "d"], "left").select("rid", "d", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), F.coalesce("longest", F.lit(0)).alias("longest"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -102,12 +96,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     doc_id and text are one document, each returned with its result. An empty benchmark leaves every document clean, an
     empty table gives no rows; other columns are not read.
     """
-    return _report(docs, benchmark, window).drop("rid", "d")
+    return _report(docs, benchmark, window).drop("rid", "d", "longest")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that contamination() does not call contaminated, each judged by its own text; all columns stay."""
-    bad = _report(docs, benchmark, window).filter("contaminated").select(F.col("d").alias("__d"), F.col("rid").alias("__rid"))
+    """The rows of docs without a benchmark passage, each judged by its own text; all columns stay.
+
+    A whole window of `window` words is a passage, however long the document around it. A shorter item is one only where
+    contamination() says so, as a few common words stand in clean documents too.
+    """
+    bad = _report(docs, benchmark, window).filter(F.col("contaminated") | (F.col("longest") >= window)).select(F.col("d").alias("__d"), F.col("rid").alias("__rid"))
     return marked(docs).join(bad, ["__d", "__rid"], "left_anti").select(docs.columns)
 
 
@@ -132,7 +130,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach
     first = lambda p: F.greatest(p["pos"] - reach + 1, F.lit(0))
     around = near.select("doc_id", F.explode(F.transform("places", lambda p: F.struct(p["term"].alias("term"), p["pos"].alias("pos"), first(p).alias("first"), F.slice("w", first(p) + 1, p["pos"] - first(p) + reach).alias("wide")))).alias("p")).select("doc_id", "p.*")
     held = lambda span: F.size(F.array_intersect(span, wanted))
-    close = around.join(_small(rare, F.octet_length("term") + F.octet_length("phrase") + 40), "term").filter(held("wide") >= F.col("need"))
+    close = around.join(small(rare, F.octet_length("term") + F.octet_length("phrase") + 40), "term").filter(held("wide") >= F.col("need"))
     spans = F.transform(F.sequence(F.col("first"), F.col("pos")), lambda s: F.struct(held(F.slice("wide", s - F.col("first") + 1, reach)).alias("n"), (-s).alias("back")))
     best = close.withColumn("best", F.array_max(spans)).filter(F.col("best.n") >= F.col("need")).withColumn("shared", F.col("best.n") / F.size(wanted)).withColumn("start", -F.col("best.back"))
     return best.groupBy("doc_id", "item_id").agg(F.min_by("start", F.struct(-F.col("shared"), "start")).alias("start"), F.max("shared").alias("shared"))

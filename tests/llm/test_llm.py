@@ -437,3 +437,14 @@ def test_pipeline(spark):
     assert secrets.scan(kept).filter("spans <> ''").count() == 0
     got = p.run(spark, "/root/testdata/sf0.01")
     assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() == kept.count() > 0.6 * docs.count()
+
+
+def test_a_benchmark_passage_in_a_long_document_goes(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    around = " ".join(f"word{k}" for k in range(2000))
+    rows = [(1, f"{around} {item} {around}"), (2, around), (3, around + " tiny item"), (4, None), (5, "tiny item")]
+    bench = spark.createDataFrame([("a", item), ("b", "tiny item")], "item_id string, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.contaminated for r in decontaminate.contamination(df, bench).orderBy("doc_id").collect()] == [False, False, False, False, True]
+    # A whole window is a passage in a document of any length; a short item has to make up a twentieth of the words.
+    assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [2, 3, 4]
