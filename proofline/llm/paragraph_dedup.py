@@ -65,40 +65,44 @@ def _line_blocks(texts):
             yield np.array([i]), parts, offsets
 
 
-def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
+def signatures(h: np.ndarray, offsets: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A key for each band of each paragraph."""
-    out = np.empty((len(offsets) - 1, BANDS), np.uint64)
+    out = np.empty((len(offsets) - 1, bands), np.uint64)
     with np.errstate(over="ignore"):
-        for b in range(BANDS):
+        for b in range(bands):
             key = np.full(len(offsets) - 1, b + 1, np.uint64)
-            for k in range(b * ROWS, (b + 1) * ROWS):
+            for k in range(b * rows, (b + 1) * rows):
                 x = h * _SEEDS[0, k] + _SEEDS[1, k]
                 key = mix(key * _C[0] + np.minimum.reduceat(x ^ (x >> np.uint64(32)), offsets[:-1]))
             out[:, b] = key
     return out
 
 
-def bands_of(words: np.ndarray, similarity: float) -> np.ndarray:
+def bands_of(words: np.ndarray, similarity: float, bands: int = BANDS) -> np.ndarray:
     """Bands that a paragraph of so many words needs, so that none it is like is missed for want of the others.
 
     Under SHINGLE words its one shingle is that of equal paragraphs only, which have one id: no band. Sets of n shingles
     whose n / (n + 1) is under the similarity are like equal sets only, which share every band: the first.
     """
     n = words - SHINGLE + 1
-    return np.where(n < 1, 0, np.where(n < similarity * (n + 1) - 1e-9, 1, BANDS))
+    return np.where(n < 1, 0, np.where(n < similarity * (n + 1) - 1e-9, 1, bands))
 
 
-def paragraphs(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def paragraphs(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(d, rid, line, n_words, id, bands) of docs (d, rid, text)."""
 
     def run(batches):
         for b in batches:
             d, rid, texts = b.column("d").to_numpy(), b.column("rid").to_numpy(), b.column("text").to_pylist()
             for row, line, size, whole, h, offsets in shingled(texts, least):
-                keys = signatures(h, offsets).view(np.int64)
-                need = bands_of(size, similarity)
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(need))).astype(np.int32)), pa.array(keys[np.arange(BANDS) < need[:, None]]))
-                yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(rid[row]), pa.array(line.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(whole.view(np.int64)), bands], ["d", "rid", "line", "n_words", "id", "bands"])
+                keys = signatures(h, offsets, bands, rows).view(np.int64)
+                need = bands_of(size, similarity, bands)
+                held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(need))).astype(np.int32)), pa.array(keys[np.arange(bands) < need[:, None]]))
+                yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(rid[row]), pa.array(line.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(whole.view(np.int64)), held], ["d", "rid", "line", "n_words", "id", "bands"])
 
     return docs.select("d", "rid", "text").mapInArrow(run, "d long, rid long, line int, n_words int, id long, bands array<long>")
 
@@ -177,7 +181,17 @@ def _verified(batches, similarity: float):
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
 
 
-def duplicates(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+def verified(meeting: DataFrame, sets: DataFrame, similarity: float, cell_rows: int) -> DataFrame:
+    """(u, v) links among the ids of meeting (id, key, n ids of that key), by the exact similarity of their sets (id, shingles)."""
+    rows = meeting.withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rows.select("id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
+    n = int(meeting.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.join(sets.dropDuplicates(["id"]), "id").repartition(n, "cell").sortWithinPartitions("cell", "id")
+    return dealt.mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
+
+
+def duplicates(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Every paragraph (line) that has a duplicate: doc_id, line (from 0), n_words, keep_doc_id, keep_line, removed.
 
     Paragraphs of at least `least` words are alike if the sets of their five-word shingles (white-space words, A-Z in lower
@@ -187,24 +201,17 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SI
     pairs. A paragraph of under five words is one shingle. Null and empty texts have no paragraph; a null doc_id counts as the least. Rows that repeat doc_id
     and text are one document. An empty table gives none; other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = keyed(docs)
-    base = rows.select("d", "rid", "text")
-    found = cut_table(paragraphs(base, least, similarity))
+    base = keyed(docs).select("d", "rid", "text")
+    found = cut_table(paragraphs(base, least, similarity, bands, rows))
     classes = found.groupBy("id").agg(F.min(F.struct("d", "line", "rid")).alias("first"), F.first("bands").alias("bands"))
-    bands = classes.select("id", F.explode("bands").alias("key"))
+    keys = classes.select("id", F.explode("bands").alias("key"))
     over = Window.partitionBy("key")
-    meeting = cut(bands.withColumn("n", F.count("*").over(over)).filter("n > 1"))
+    meeting = cut(keys.withColumn("n", F.count("*").over(over)).filter("n > 1"))
     places = classes.select("id", "first").join(meeting.select("id").distinct(), "id", "left_semi")
     places = cut(places.groupBy("first.d", "first.rid").agg(F.collect_set("first.line").alias("lines")))
     few = (places.agg(F.sum(F.size("lines") + 2)).first()[0] or 0) <= BROADCAST_LINES
     sets = cut_table(_sets(base.join(F.broadcast(places) if few else places, ["d", "rid"]).select("text", "lines")))
-    rows_of = meeting.withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int"))
-    rows_of = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rows_of.select("id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.join(sets.dropDuplicates(["id"]), "id").repartition(n, "cell").sortWithinPartitions("cell", "id")
-    groups = components(dealt.mapInArrow(lambda it: _verified(it, similarity), "u long, v long"))
+    groups = components(verified(meeting, sets, similarity, cell_rows))
     own = classes.select("id", F.struct("first.d", "first.line").alias("first")).join(groups, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     counted = found.groupBy("id").agg(F.countDistinct("d", "rid", "line").alias("n"))
     heads = own.join(counted, "id").groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import decontaminate, hilbert, ivfpq, paragraph_dedup, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from proofline.llm import decontaminate, hilbert, ivfpq, paragraph_dedup, passages, quality, secrets, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from proofline.llm.common import table
 from proofline.llm.sql import ORACLES
 
@@ -18,6 +18,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.substrings(table(spark, sf_dir, "documents"), least=20)
+
+
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.duplicates(table(spark, sf_dir, "documents"), least=1)
 
@@ -55,5 +59,5 @@ def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_paragraph_dedup, op4_hilbert_shards, op5_simhash, op6_ivfpq, op7_toxicity, op8_secrets, op9_sentencepiece, op10_decontaminate, op10_proximity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_substring_dedup, op3_paragraph_dedup, op4_hilbert_shards, op5_simhash, op6_ivfpq, op7_toxicity, op8_secrets, op9_sentencepiece, op10_decontaminate, op10_proximity)}
 __all__ = ["ORACLES", "QUERIES"]
