@@ -15,10 +15,14 @@ from proofline.plans import project, registry
 from proofline.sources.readers import BadInput
 
 
+#: Each command with what it needs.
+COMMANDS = {"run": ("config",), "plan": ("config",), "analyse": ("directory",), "triage-eval": ("directory", "config"), "compare": ("a", "b"), "check": ("taxonomy",), "list": (), "query": ("name", "tables")}
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="proofline")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, names in {"run": ("config",), "plan": ("config",), "analyse": ("directory",), "triage-eval": ("directory", "config"), "compare": ("a", "b"), "check": ("taxonomy",), "list": (), "query": ("name", "tables")}.items():
+    for name, names in COMMANDS.items():
         p = sub.add_parser(name)
         for n in names:
             p.add_argument(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
@@ -50,6 +50,15 @@ def resolve(name: str, block: Mapping[str, Any] | None = None, project: Mapping[
     return Resolved(DEFAULTS[name], "default")
 
 
+def resolved(layers: Mapping[str, Mapping[str, Any]], names: Iterable[str]) -> list[tuple[str, float, str]]:
+    """(name, value, source) of numeric settings, from the blocks `field` and `settings` or the default."""
+    out = []
+    for n in names:
+        r = resolve(n, layers.get("field"), layers.get("settings"))
+        out.append((n, float(r.value), r.source))
+    return out
+
+
 def load(text: str) -> dict[str, Any]:
     values = yaml.safe_load(text) or {}
     check(values)

@@ -9,7 +9,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 NAME = re.compile(r"[a-z][a-z0-9_]*")
 ALLOWED = {"definition", "examples", "not_this", "children"}
@@ -86,6 +86,25 @@ def parse(body: Mapping) -> Taxonomy:
     return Taxonomy(body["id"], int(body["version"]), {n.path: n for n in walk(body["nodes"], "")})
 
 
+def from_table(nodes: DataFrame, id: str, version: int, most: int = 10_000) -> Taxonomy:
+    """A tree from its table (path, definition, parent); one of over `most` nodes is no tree for people and raises."""
+    rows = nodes.select("path", "definition", "parent").orderBy("path").limit(most + 1).collect()
+    if len(rows) > most:
+        raise BadTaxonomy(f"more than {most} nodes")
+    below: dict[str, list[str]] = {}
+    for r in rows:
+        below.setdefault(r.parent, []).append(r.path)
+    return Taxonomy(id, version, {r.path: Node(r.path, r.definition, children=tuple(below.get(r.path, ()))) for r in rows})
+
+
+def problems(nodes: DataFrame) -> DataFrame:
+    """(path, problem) of a table of nodes (path, definition, parent) that parse() would refuse, the first problem of each."""
+    name = F.substring_index("path", ".", -1)
+    above = nodes.select(F.col("path").alias("parent"), F.lit(True).alias("held"))
+    bad = F.when((name == "abstain") | ~F.rlike(name, F.lit("^[a-z][a-z0-9_]*$")), "not a name for a label").when(F.trim(F.coalesce("definition", F.lit(""))) == "", "no definition").when(F.col("parent").isNotNull() & F.col("held").isNull(), "no node above")
+    return nodes.join(above, "parent", "left").select("path", bad.alias("problem")).filter("problem IS NOT NULL")
+
+
 def check_digest(taxonomy: Taxonomy, recorded: Mapping[str, str]) -> None:
     if recorded.get(taxonomy.ref, taxonomy.digest()) != taxonomy.digest():
         raise BadTaxonomy(f"{taxonomy.ref} has changed under the same version")

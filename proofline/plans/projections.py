@@ -35,6 +35,16 @@ PROJECTIONS = {
       '}}, {{"claim": "two", "supported": true}}, {{"claim": "three", "supported": ', CASE WHEN doc_id % 5 = 0 THEN 'false' ELSE 'true' END, '}}], "missing": "', CASE WHEN doc_id % 4 = 0 THEN 'the date' ELSE '' END, '"}}') END AS reply FROM {documents}""",
     "ratings_boxes": """SELECT CAST(doc_id AS STRING) AS item_id, CASE WHEN doc_id % 6 = 0 THEN 'made_up' WHEN doc_id % 8 = 0 THEN 'missing' ELSE 'none' END AS label FROM {documents} WHERE doc_id % 2 = 0""",
     "run_index": """SELECT * FROM (VALUES ('audit', 'r1', TIMESTAMP '2024-01-01 00:00:00'), ('audit', 'r3', TIMESTAMP '2024-02-01 00:00:00'), ('audit', 'r2', TIMESTAMP '2024-02-01 00:00:00'), ('other', 'r9', TIMESTAMP '2024-03-01 00:00:00')) AS t(project, run_id, ended)""",
+    "nation_rows": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM {nation}",
+    "customers": "SELECT CAST(c_custkey AS STRING) AS item_id, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_nationkey END AS nation FROM {customer}",
+    "drafts": """SELECT * FROM (VALUES ('root', 'a first label', CAST(NULL AS STRING)), ('root.leaf', 'one below', 'root'), ('root.Leaf', 'a capital', 'root'), ('root.9', 'a digit first', 'root'), ('abstain', 'is taken', NULL), ('root.bare', ' ', 'root'), ('lost.child', 'no node above', 'lost'),
+      ('other', NULL, NULL)) AS t(path, definition, parent)""",
+    "schema_fields": "SELECT * FROM (VALUES ('lang', 'assigned', 2), ('topic', 'assigned', 0), ('total', 'copied', 1), ('summary', 'free_text', 1), ('note', 'free_text', 0)) AS t(field, kind, mode)",
+    "layers": """SELECT * FROM (VALUES ('field', 'max_copy_ratio', 0.6e0), ('settings', 'max_copy_ratio', 0.7e0), ('settings', 'min_grounding', 0.9e0), ('default', 'max_copy_ratio', 0.5e0), ('default', 'min_grounding', 0.95e0), ('default', 'audit_rate', 0.1e0), ('default', 'min_stability', 0.9e0)) AS t(source, name, value)""",
+    "trees_a": "SELECT * FROM (VALUES ('lang', 1, 'aa'), ('topic', 1, 'bb'), ('tone', 2, 'cc'), ('mood', 1, 'dd'), ('form', 3, 'ee'), ('size', 1, 'ff')) AS t(id, version, digest)",
+    "trees_b": "SELECT * FROM (VALUES ('lang', 1, 'aa'), ('topic', 1, 'b2'), ('tone', 3, 'cc'), ('form', 4, 'e2'), ('size', 2, 'f2')) AS t(id, version, digest)",
+    "moves": "SELECT * FROM (VALUES ('form', 3, 4), ('size', 2, 3)) AS t(id, source, target)",
+    "calibrations": "SELECT * FROM (VALUES ('judge-a', 'm1', 'p7', 'label_correct', 'langs@v1', 'p7'), ('judge-b', 'm1', 'p7', 'label_correct', 'langs@v1', 'p6'), ('judge-c', 'm2', 'p7', 'label_correct', CAST(NULL AS STRING), 'p7')) AS t(judge, model, prompt, check_id, tree, was)",
     "migration": "SELECT * FROM (VALUES ('germanic.en', 'west.en'), ('germanic.de', 'west.de'), ('romance.fr', 'south'), ('romance.es', 'south'), ('germanic', CAST(NULL AS STRING))) AS t(old, new)",
     "replies": """SELECT CAST(doc_id AS STRING) AS item_id, CASE WHEN doc_id % 11 = 0 THEN 'no idea' WHEN doc_id % 9 = 0 THEN '{{"correct": "true", "confidence": 2.5}}' WHEN doc_id % 2 = 0 THEN '{{"correct": false, "confidence": 0.75, "instead": "romance.fr"}}' ELSE 'So: {{"correct": true, "confidence": 0.9}} done' END AS reply FROM {documents}""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def run_name(run_id: str, when: datetime, taken: set[str] = frozenset()) -> str:
@@ -18,6 +18,18 @@ def run_name(run_id: str, when: datetime, taken: set[str] = frozenset()) -> str:
     return name
 
 
+def run_names(runs: DataFrame) -> DataFrame:
+    """(project, run_id, name) of runs (project, run_id, at): run_name() for a whole table, later ids of one name with a number behind."""
+    name = F.concat_ws("_", F.date_format("at", "yyyy-MM-dd"), F.date_format("at", "HHmm"), "project")
+    k = F.row_number().over(Window.partitionBy("name").orderBy("run_id"))
+    return runs.withColumn("name", name).withColumn("k", k).select("project", "run_id", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", "k")).alias("name"))
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """One JSON object a row, nulls written as such."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     df.write.mode(mode).format(fmt).save(path)
 

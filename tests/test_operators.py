@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofline.functions import gates, settings, taxonomy
-from proofline.operators import assigned, copied, evidence as E, free_text, metrics, ranking, runs, runs as R
+from proofline.operators import assigned, copied, evidence as E, free_text, guardrails, judging, metrics, ranking, runs, runs as R
 from proofline.sources import readers, writers
 from proofline.streaming import live
 
@@ -169,3 +169,63 @@ def test_resampled_intervals_hold_the_point(spark):
     q = E.recall_interval(scored, 0.1, 200).first()
     assert q.low < 30 / 133 < q.high
     assert E.recall_interval(scored.limit(50), 0.1, 20).first().resamples == 0
+
+
+def test_a_provider_over_http_waits_and_gives_up():
+    seen, waits = [], []
+
+    def send(answers):
+        it = iter(answers)
+
+        def one(body):
+            seen.append(body["prompt"])
+            a = next(it)
+            if isinstance(a, Exception):
+                raise a
+            return a
+
+        return one
+
+    ask = lambda answers: judging.over_http(send(answers), "m", sleep=waits.append)("q")
+    assert ask([(429, ""), TimeoutError(), (503, ""), (200, "yes")]) == "yes" and len(seen) == 4
+    assert len(waits) == 3 and waits[0] < waits[1] < waits[2]
+    with pytest.raises(judging.ProviderFailed, match="401"):
+        ask([(401, "")])
+    with pytest.raises(judging.ProviderFailed, match="500"):
+        ask([(500, "")] * 4)
+
+
+@pytest.mark.parametrize("reply,want", [('so {"a": "x"} end', "x"), ('{"a": null}', None), ("{}", None), ("[1]", None), ("{bad}", None), ("} {", None), (None, None), ('{"a": 3}', "3")])
+def test_a_field_of_a_reply(reply, want):
+    assert judging.read_field(reply, "a") == want
+
+
+def test_one_question_is_asked_once_by_the_first_pass(spark):
+    rows = spark.createDataFrame([("1", "t", "v"), ("2", "u", "w"), ("3", "x", None), ("4", "x", " ")], "item_id string, text string, value string")
+    q = lambda kind="assigned", judges=("a",): judging.questions(rows, kind, "f", list(judges))
+    assert q().count() == 2 and q("copied", ("a", "b")).count() == 4
+    todo = judging.collect_run(q(), q(judges=("a", "b")), q(judges=("b", "c")), q().filter("item_id = '1'")).collect()
+    assert sorted((r.item_id, r.judge, r.selected_by) for r in todo) == [("1", "b", "panel"), ("1", "c", "gated"), ("2", "a", "triage"), ("2", "b", "panel"), ("2", "c", "gated")]
+
+
+def test_an_estimate_beats_only_what_its_interval_clears(spark):
+    rows = [("a", 0.9, 0.8, 1.0, 50), ("b", 0.7, 0.65, 0.75, 20), ("c", None, None, None, 0)]
+    got = {r.name: (r.beats, r.under_floor) for r in guardrails.estimates(spark.createDataFrame(rows, "name string, value double, low double, high double, n long")).collect()}
+    assert got == {"a": (True, False), "b": (False, True), "c": (False, True)}
+
+
+def test_health_flags_are_independent(spark):
+    rows = [("a", None, 0.0), ("b", 0.99, 0.06), ("c", 0.9, 0.03), ("d", 0.5, 0.0)]
+    got = {tuple(r) for r in guardrails.health_flags(spark.createDataFrame(rows, "judge string, approval double, unreadable double")).collect()}
+    assert got == {("a", "stop", "scored nothing"), ("b", "stop", "one-sided"), ("b", "stop", "unreadable"), ("c", "warn", "leaning"), ("c", "warn", "unreadable")}
+
+
+def test_public_names_are_there():
+    from proofline import api
+
+    assert all(hasattr(api, n) for n in api.__all__) and {"read_items", "run", "screen", "auc"} <= set(api.__all__)
+
+
+def test_lines_of_an_object_keep_nulls(spark, tmp_path):
+    writers.write_lines(spark.createDataFrame([("1", None)], "a string, b string"), str(tmp_path / "x.jsonl"))
+    assert spark.read.text(str(tmp_path / "x.jsonl")).first().value == '{"a":"1","b":null}'
