@@ -44,41 +44,62 @@ def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFr
     return docs.select(*(F.col(k).cast("long").alias(k) for k in keys), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
-def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Boolean matrix: which of left lie within radius (up to 7) bits of which of right.
+def _planes(fp: np.ndarray) -> np.ndarray:
+    """64 vertical bit planes of fingerprints, 64 of them to a word; lanes that are left over are zero."""
+    width = -(-len(fp) // 64)
+    bits = np.zeros((64, width * 64), np.uint8)
+    bits[:, : len(fp)] = np.unpackbits(np.ascontiguousarray(fp, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
 
-    The right side is kept as 64 vertical bit planes, 64 fingerprints to a word; carry-save adders count the differing
-    bits of all lanes at once, four planes a step, and a block ends as soon as every lane has passed the radius.
+def _within(differ, shape: tuple, radius: int) -> np.ndarray | None:
+    """Lanes that differ in at most radius (up to 7) bits, as bytes; differ(b): the lanes that differ in bit b, as words.
+
+    Carry-save adders count the differing bits of all lanes at once, four planes a step; None as soon as every lane has
+    passed the radius.
     """
-    width = -(-len(right) // 64)
-    bits = np.zeros((64, width * 64), np.uint8)
-    bits[:, : len(right)] = np.unpackbits(np.ascontiguousarray(right, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    planes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    full = ~np.uint64(0)
-    out = np.zeros((len(left), width * 64), bool)
+    one = np.zeros(shape, np.uint64)
+    two, four, over, full = one.copy(), one.copy(), one.copy(), ~np.uint64(0)
+    for b in range(0, 64, 4):
+        x, y, z, w = (differ(b + j) for j in range(4))
+        a = one ^ x
+        carry_a, one = (one & x) | (a & y), a ^ y
+        a = one ^ z
+        carry_b, one = (one & z) | (a & w), a ^ w
+        a = two ^ carry_a
+        carry, two = (two & carry_a) | (a & carry_b), a ^ carry_b
+        over |= four & carry
+        four = four ^ carry
+        past = over | _greater(four, two, one, radius)
+        if (past == full).all():
+            return None
+    return np.unpackbits((~past).view(np.uint8), axis=-1, bitorder="little").astype(bool)
+
+
+def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Boolean matrix: which of left lie within radius (up to 7) bits of which of right."""
+    planes, full = _planes(right), ~np.uint64(0)
+    out = np.zeros((len(left), planes.shape[1] * 64), bool)
     for at in range(0, len(left), 512):
         q = np.ascontiguousarray(left[at : at + 512], np.uint64)
         flip = np.where((q[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), full, np.uint64(0))
-        one = np.zeros((len(q), width), np.uint64)
-        two, four, over, past = one.copy(), one.copy(), one.copy(), one
-        for b in range(0, 64, 4):
-            x, y, z, w = (planes[b + j][None, :] ^ flip[:, b + j, None] for j in range(4))
-            a = one ^ x
-            carry_a, one = (one & x) | (a & y), a ^ y
-            a = one ^ z
-            carry_b, one = (one & z) | (a & w), a ^ w
-            a = two ^ carry_a
-            carry, two = (two & carry_a) | (a & carry_b), a ^ carry_b
-            over |= four & carry
-            four = four ^ carry
-            past = over | _greater(four, two, one, radius)
-            if (past == full).all():
-                break
-        else:
-            out[at : at + 512] = np.unpackbits((~past).view(np.uint8).reshape(len(q), -1), axis=1, bitorder="little").astype(bool)
+        got = _within(lambda b: planes[b][None, :] ^ flip[:, b, None], (len(q), planes.shape[1]), radius)
+        if got is not None:
+            out[at : at + 512] = got
     return out[:, : len(right)]
 
 
+def near_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS, block: int = 4096) -> np.ndarray:
+    """Which left[i] lie within radius (up to 7) bits of right[i]; a block whose pairs are all past the radius ends at once."""
+    out = np.zeros(len(left), bool)
+    for at in range(0, len(left), block):
+        planes = _planes(left[at : at + block] ^ right[at : at + block])
+        got = _within(lambda b: planes[b], (planes.shape[1],), radius)
+        if got is not None:
+            out[at : at + block] = got[: len(out[at : at + block])]
+    return out
+
+
 def _greater(four: np.ndarray, two: np.ndarray, one: np.ndarray, radius: int) -> np.ndarray:
     """Lanes whose three-bit count is over radius."""
     more, same = np.zeros_like(one), ~np.zeros_like(one)
@@ -128,7 +149,7 @@ def _links(batches, radius: int):
             i = np.flatnonzero(small[:-shift] & (cell[shift:] == cell[:-shift]) & ((side[shift:] != side[:-shift]) | (side[shift:] == 2)))
             if not len(i):
                 continue
-            i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= radius]
+            i = i[near_pairs(fp[i], fp[i + shift], radius)]
             a.append(fp[i])
             b.append(fp[i + shift])
         for s, n in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist()):

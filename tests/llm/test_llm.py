@@ -448,3 +448,12 @@ def test_a_benchmark_passage_in_a_long_document_goes(spark):
     assert [r.contaminated for r in decontaminate.contamination(df, bench).orderBy("doc_id").collect()] == [False, False, False, False, True]
     # A whole window is a passage in a document of any length; a short item has to make up a twentieth of the words.
     assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [2, 3, 4]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 9)), max_size=200), st.integers(0, 7))
+def test_bit_sliced_comparison_of_pairs(values, radius):
+    left = np.array([v for v, _ in values], np.uint64)
+    right = np.array([v ^ sum(1 << (7 * k + v % 7) for k in range(n)) for v, n in values], np.uint64)
+    got = simhash.near_pairs(left, right, radius, block=64)
+    assert got.tolist() == [int(a ^ b).bit_count() <= radius for a, b in zip(left.tolist(), right.tolist())]
