@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from proofline.llm.common import keyed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1_000_000  # characters; longer texts are encoded in chunks
+CHUNK = 65_536  # characters; longer texts are encoded in chunks
 SPACE = "▁"
 
 
