@@ -26,6 +26,7 @@ from proofline.llm.common import _INV, _ODD, cut, cut_table, keyed, marked, mix,
 
 WINDOW, GRAM = 100, 32
 RANGE_ROWS = 100_000  # suffixes that are solved at once
+LEAST_ROWS = 2_000  # suffixes that a range is worth
 MAX_RANGES = 65_536  # splitters that a broadcast may hold; beyond it ranges grow and each is solved in runs of RANGE_ROWS
 SAMPLE, SAMPLE_ROWS = 64, 262_144  # sampled suffixes for each splitter, and in all
 PIECE = 1_000_000
@@ -295,7 +296,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h", F.greatest("spread", F.lit(0))))).filter("spread <> 0 or n > 1")
     places = cut_table(counted.groupBy("k").agg(F.collect_set("place").alias("places")))
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    ranges = min(MAX_RANGES, max(1, -(-total // range_rows)))
+    # As many ranges as tasks, if each has enough rows, so that none waits for one that has many.
+    ranges = min(MAX_RANGES, max(1, -(-total // range_rows), min(n, total // LEAST_ROWS)))
     packed = docs.select("d", "rid", "k", "text").mapInArrow(_packed, "d long, rid long, k long, z binary")
     splitters: list = []
     if ranges > 1:
