@@ -15,8 +15,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Character classes, each with the alphabet that is counted and the bits of entropy a window must reach.
 CLASSES = {"hex": ("0123456789abcdef", 3.2), "alnum": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 3.6)}
-#: Candidates that are no secrets: UUIDs, strings without a digit or without a letter, paths and dashed words, placeholders, digests named as such.
-ALLOWED = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[^0-9]*$|^[^A-Za-z]*$|^[A-Za-z]+[0-9]{0,4}([/_=+-]+[A-Za-z]*[0-9]{0,4})*$|[xX]{4,}|EXAMPLE|example|sha(1|256|512)[-=]"
+#: Candidates that are no secrets: UUIDs, strings without a digit or without a letter, paths and dashed words, placeholders that end in
+#: x's or in a word with EXAMPLE, digests named as such. Each is judged to the candidate's end, so a key behind such a part is found.
+ALLOWED = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[^0-9]*$|^[^A-Za-z]*$|^[A-Za-z]+[0-9]{0,4}([/_=+-]+[A-Za-z]*[0-9]{0,4})*$|^[xX/_=+-]*$|[xX]{8,}$|(EXAMPLE|example)[A-Za-z0-9]*$|(^|[/_=+-])sha(1|256|512)[-=][A-Za-z0-9+/]*=*$"
 UNIT = 1 << 16
 _STEP = 128
 
