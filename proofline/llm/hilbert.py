@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -39,12 +41,24 @@ def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def _number(docs: DataFrame, name: str) -> Column:
-    """A dimension as a number in the order of its values; strings by their first seven bytes, a missing column or null as the least."""
+def _common(docs: DataFrame, names: list[str]) -> dict[str, int]:
+    """Bytes that all values of a string dimension begin with: those that the least and the greatest share."""
+    if not names:
+        return {}
+    ends = docs.agg(*(f(_bytes(n)).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("low", F.min), ("high", F.max)))).first()
+    return {n: len(os.path.commonprefix([bytes(ends[f"low{i}"] or b""), bytes(ends[f"high{i}"] or b"")])) for i, n in enumerate(names)}
+
+
+def _bytes(name: str) -> Column:
+    return F.col(name).cast("binary")
+
+
+def _number(docs: DataFrame, name: str, skip: int = 0) -> Column:
+    """A dimension as a number in the order of its values; strings by their six bytes behind the `skip` ones that all share, a missing column or null as the least."""
     if name not in docs.columns:
         return F.lit(float("-inf"))
     if dict(docs.dtypes)[name] in ("string", "binary"):
-        head = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+        head = F.conv(F.rpad(F.hex(F.substring(_bytes(name), skip + 1, 6)), 12, "0"), 16, 10).cast("double")  # 48 bits, which a double holds
         return F.coalesce(head, F.lit(float("-inf")))
     return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
 
@@ -59,7 +73,8 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, dimensions: tuple[str, ...]
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = [f"k{i}" for i in range(len(dimensions))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *(_number(docs, d).alias(k) for d, k in zip(dimensions, names)))
+    skip = _common(docs, [d for d in dimensions if dict(docs.dtypes).get(d) in ("string", "binary")])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *(_number(docs, d, skip.get(d, 0)).alias(k) for d, k in zip(dimensions, names)))
     rows = cut_table(rows)
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(k, steps, 10_000).alias(k) for k in names)).first()
