@@ -136,19 +136,24 @@ def spans_of(parts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np
     return np.searchsorted(begins, starts, "right") - 1, starts, ends, data, begins
 
 
+MOST_GRADES = 64
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
-    """(doc_id, text, y, share) of at most `limit` labelled documents of each value y, those first by a hash of doc_id.
+    """(doc_id, text, y double, share) of at most `limit` labelled documents of each value y, those first by a hash of doc_id.
 
     share: rows of that value for each row that was taken. Rows without a label or id are left out; of several labels of a
-    document the largest counts. Values beyond the 16 commonest are left out.
+    document the largest counts. More than MOST_GRADES values are no grades and raise.
     """
-    known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(column).cast("double")).alias("y"))
     known = cut(known)
-    sizes = known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(16).collect()
+    sizes = known.groupBy("y").count().orderBy("y").limit(MOST_GRADES + 1).collect()
+    if len(sizes) > MOST_GRADES:
+        raise ValueError(f"{column} has more than {MOST_GRADES} values")
     picked = None
     for r in sizes:
         part = known.filter(F.col("y") == r["y"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("share", F.lit(r["count"] / min(limit, r["count"])))
         picked = part if picked is None else picked.union(part)
     picked = cut((known.limit(0).withColumn("share", F.lit(1.0)) if picked is None else picked))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # 16 * limit rows at most
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # MOST_GRADES * limit rows at most
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"), F.min("share").alias("share"))
