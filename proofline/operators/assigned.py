@@ -7,6 +7,8 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from proofline.functions.sizes import SMALL_ROWS, small_side
+
 ABSTAIN = "abstain"
 STOPLIST = ("and", "the", "of", "with", "that", "for", "from", "this", "are", "was")
 
@@ -20,14 +22,16 @@ def is_judgeable(value: Column) -> Column:
 
 
 def label_in_taxonomy(outputs: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """(item_id, value, status) of every output that does not abstain; the taxonomy is tens of rows."""
-    known = F.broadcast(taxonomy.select(F.col("path").alias("value"), F.lit(True).alias("known")))
+    """(item_id, value, status) of every output that does not abstain."""
+    known = small_side(taxonomy.select(F.col("path").alias("value"), F.lit(True).alias("known")))
     return outputs.filter(~is_abstain(F.col("value"))).join(known, "value", "left").select("item_id", "value", F.when(F.col("known"), "pass").otherwise("fail").alias("status"))
 
 
 def nearest_labels(outputs: DataFrame, taxonomy: DataFrame, n: int = 3, cutoff: float = 0.5) -> DataFrame:
     """(value, nearest) of every invented label: its close matches by difflib, one row for each distinct label."""
-    paths = [r.path for r in taxonomy.select("path").orderBy("path").collect()]  # tens of nodes
+    paths = [r.path for r in taxonomy.select("path").orderBy("path").limit(SMALL_ROWS + 1).collect()]
+    if len(paths) > SMALL_ROWS:
+        raise ValueError(f"a taxonomy of more than {SMALL_ROWS} labels")
 
     @F.pandas_udf("array<string>")
     def close(value: pd.Series) -> pd.Series:
@@ -40,7 +44,7 @@ def nearest_labels(outputs: DataFrame, taxonomy: DataFrame, n: int = 3, cutoff:
 def valid_leaf(outputs: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(item_id, value, status, children) of known labels: fail where the node has children."""
     child = taxonomy.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("path")).agg(F.concat_ws(",", F.sort_array(F.collect_list("path"))).alias("children"))
-    nodes = F.broadcast(taxonomy.select("path").join(child, "path", "left"))
+    nodes = small_side(taxonomy.select("path").join(child, "path", "left"))
     return outputs.join(nodes, outputs.value == nodes.path).select("item_id", "value", F.when(F.col("children").isNull(), "pass").otherwise("fail").alias("status"), F.coalesce("children", F.lit("")).alias("children"))
 
 
@@ -93,7 +97,7 @@ def vocabulary(taxonomy: DataFrame, least: int = 3) -> DataFrame:
 def cross_field_agreement(outputs: DataFrame, texts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(item_id, status, score): words that the text (item_id, text) shares with its label's vocabulary; unscored without text or a known label."""
     vocab = vocabulary(taxonomy).groupBy(F.col("path").alias("value")).agg(F.collect_set("word").alias("vocab"))
-    joined = outputs.join(texts, "item_id").join(F.broadcast(vocab), "value", "left")
+    joined = outputs.join(texts, "item_id").join(small_side(vocab), "value", "left")
     said = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
     score = F.size(F.array_intersect(said, "vocab"))
     scored = joined.withColumn("score", F.when((F.trim("text") != "") & F.col("vocab").isNotNull() & ~is_abstain(F.col("value")), score).cast("double"))

@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from proofline.functions.sizes import small_side
 from proofline.operators.metrics import accuracy, buckets, sample_items, screen
+from proofline.operators.resampling import mean_draws, recall_draws
 from proofline.operators.ranking import BUDGETS, fit_sigmoid, identity_risk, recall_at_budget
 
 #: The boxes that a human may tick, and the check each is compared with.
@@ -75,12 +77,12 @@ def defect_agreement(ratings: DataFrame, flags: DataFrame) -> DataFrame:
 def panel(verdicts: DataFrame, items: DataFrame, n: int = 300) -> DataFrame:
     """The verdicts that a panel's figures are made of: on the sampled items, of judges whose health is no stop."""
     alive = screen(verdicts).filter("flag <> 'stop'").select("judge")
-    return verdicts.join(F.broadcast(alive), "judge", "left_semi").join(F.broadcast(sample_items(items, n)), "item_id", "left_semi")  # a row a judge, and n items
+    return verdicts.join(small_side(alive), "judge", "left_semi").join(small_side(sample_items(items, n)), "item_id", "left_semi")
 
 
 def calibrated_risk(verdicts: DataFrame, curves: DataFrame) -> DataFrame:
     """(item_id, score): the largest risk after each judge's curve (judge, a, b); judges without one give none."""
-    fitted = verdicts.join(F.broadcast(curves.filter("a IS NOT NULL").select("judge", "a", "b")), "judge")
+    fitted = verdicts.join(small_side(curves.filter("a IS NOT NULL").select("judge", "a", "b")), "judge")
     right = 1 / (1 + F.exp(F.col("a") * F.col("confidence") + F.col("b")))
     return fitted.groupBy("item_id").agg(F.round(F.max(identity_risk(F.col("status"), right)), 6).alias("score"))
 
@@ -110,7 +112,7 @@ def tree(taxonomy: DataFrame) -> DataFrame:
     """(path, depth, siblings, children) of every label."""
     kids = taxonomy.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("children"))
     peers = taxonomy.groupBy(F.coalesce("parent", F.lit("")).alias("above")).agg((F.count("*") - 1).alias("siblings"))
-    held = taxonomy.select("path", F.coalesce("parent", F.lit("")).alias("above")).join(F.broadcast(peers), "above").join(F.broadcast(kids), "path", "left")  # a row a label
+    held = taxonomy.select("path", F.coalesce("parent", F.lit("")).alias("above")).join(small_side(peers), "above").join(small_side(kids), "path", "left")
     return held.select("path", F.size(F.split("path", "\\.")).cast("long").alias("depth"), "siblings", F.coalesce("children", F.lit(0)).cast("long").alias("children"))
 
 
@@ -121,9 +123,13 @@ def _interval(draws: DataFrame) -> list[Column]:
 def bootstrap_ci(values: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], float | None], resamples: int = 1000, seed: int = 7, most: int = MOST_PROFILES) -> DataFrame:
     """One row (resamples, low, high): a statistic of (values, weights) over resamples of whole items of values (item_id, value).
 
-    An item comes with all of its values or not at all. Items with equal values are one profile, drawn by a multinomial;
-    more than `most` profiles raise. A draw whose statistic is None is left out.
+    An item comes with all of its values or not at all. The mean is a sum over tasks, for any number of items. Another
+    statistic needs all values at once: items with equal ones are one profile, drawn by a multinomial, and more than `most`
+    profiles raise. A draw whose statistic is None is left out.
     """
+    if statistic is weighted_mean:
+        draws = mean_draws(values, resamples, seed)
+        return draws.agg(*_interval(draws))
     profiles = values.groupBy("item_id").agg(F.sort_array(F.collect_list("value")).alias("v")).filter("size(v) > 0").groupBy("v").agg(F.count("*").alias("n"))
     rows = profiles.limit(most + 1).collect()
     if len(rows) > most:
@@ -149,7 +155,13 @@ def weighted_mean(values: np.ndarray, weights: np.ndarray) -> float | None:
 
 
 def recall_interval(scored: DataFrame, budget: float = 0.1, resamples: int = 1000, seed: int = 7, least: int = 200, most: int = MOST_PROFILES) -> DataFrame:
-    """One row (n, resamples, low, high) of the recall at a budget, over resamples of items (score, error); under `least` items no interval."""
+    """One row (n, resamples, low, high) of the recall at a budget, over resamples of items (item_id, score, error), however
+    many; under `least` items no interval. Rows without an item_id are counted, and more than `most` distinct scores raise.
+    """
+    if "item_id" in scored.columns:
+        total = scored.filter("score IS NOT NULL").count()
+        draws = recall_draws(scored if total >= least else scored.limit(0), budget, resamples, seed)
+        return draws.agg(*_interval(draws)).select(F.lit(total).cast("long").alias("n"), "resamples", "low", "high")
     counts = scored.filter("score IS NOT NULL").groupBy("score").agg(F.count("*").alias("n"), F.count_if("error").alias("pos"))
     rows = counts.limit(most + 1).toPandas().sort_values("score", ascending=False)
     if len(rows) > most:
@@ -177,7 +189,7 @@ def cross_fitted(rows: DataFrame, folds: int = 5, least: int = 100) -> DataFrame
     """(judge, n, ece, brier, brier_base_rate) of rows (item_id, judge, confidence, right): each fold is scored by a curve
     that was fitted on the others. Folds go by a hash of the item; only counts of each confidence reach the fit.
     """
-    counts = rows.filter("confidence IS NOT NULL").groupBy("judge", F.pmod(F.xxhash64("item_id"), F.lit(folds)).alias("fold"), F.round("confidence", 4).alias("confidence"), "right").agg(F.count("*").alias("n"))
+    counts = rows.filter("confidence IS NOT NULL").groupBy("judge", F.pmod(F.conv(F.substring(F.sha2("item_id", 256), 1, 8), 16, 10).cast("long"), F.lit(folds)).alias("fold"), F.round("confidence", 4).alias("confidence"), "right").agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         s, y, n, fold = pdf.confidence.to_numpy(), pdf.right.to_numpy(bool), pdf.n.to_numpy(), pdf.fold.to_numpy()

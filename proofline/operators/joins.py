@@ -4,18 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from proofline.functions.sizes import small_side
 from proofline.operators.assigned import label_shares
 from proofline.operators.free_text import POSTINGS, shingles
 from proofline.operators.metrics import decisions, primary_labels
 
-TREE_ROWS = 100_000  # nodes of a tree that may be broadcast; a greater one is joined by a shuffle
-
-
-def small_tree(taxonomy: DataFrame) -> DataFrame:
-    """The taxonomy, marked for broadcast if a count finds at most TREE_ROWS nodes in it."""
-    return F.broadcast(taxonomy) if taxonomy.limit(TREE_ROWS + 1).count() <= TREE_ROWS else taxonomy
-
-
 def outputs_with_items(outputs: DataFrame, items: DataFrame) -> DataFrame:
     """Outputs whose item is known, with its text."""
     return outputs.join(items.select("item_id", "text"), "item_id")
@@ -27,7 +20,7 @@ def items_without_outputs(items: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def values_in_tree(outputs: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(item_id, value, known, is_leaf): every output, whether or not the tree has its value."""
-    nodes = small_tree(taxonomy.select(F.col("path").alias("value"), F.lit(True).alias("known"), "is_leaf"))
+    nodes = small_side(taxonomy.select(F.col("path").alias("value"), F.lit(True).alias("known"), "is_leaf"))
     return outputs.join(nodes, "value", "left").select("item_id", "value", F.coalesce("known", F.lit(False)).alias("known"), "is_leaf")
 
 
@@ -73,7 +66,7 @@ def definitions_by_definition(taxonomy: DataFrame) -> DataFrame:
     """
     w = taxonomy.select("path", F.array_distinct(F.split(F.lower("definition"), " ")).alias("words"))
     a, b = w.select(F.col("path").alias("left"), F.col("words").alias("x")), w.select(F.col("path").alias("right"), F.col("words").alias("y"))
-    return a.join(small_tree(b), F.col("left") < F.col("right")).select("left", "right", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
+    return a.join(small_side(b), F.col("left") < F.col("right")).select("left", "right", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
 
 
 def cache_probe(questions: DataFrame, cache: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from proofline.functions.sizes import small_side
 from proofline.operators.assigned import is_abstain
 
 LONG = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -18,8 +19,8 @@ def buckets(outputs: DataFrame, labels: DataFrame, taxonomy: DataFrame) -> DataF
     """(item_id, predicted, truth, bucket): how far each answer is from the primary label."""
     t = taxonomy.select("path", "parent")
     joined = outputs.join(primary_labels(labels), "item_id")
-    joined = joined.join(F.broadcast(t.select(F.col("path").alias("value"), F.col("parent").alias("p_parent"), F.lit(True).alias("p_known"))), "value", "left")
-    joined = joined.join(F.broadcast(t.select(F.col("path").alias("label"), F.col("parent").alias("t_parent"), F.lit(True).alias("t_known"))), "label", "left")
+    joined = joined.join(small_side(t.select(F.col("path").alias("value"), F.col("parent").alias("p_parent"), F.lit(True).alias("p_known"))), "value", "left")
+    joined = joined.join(small_side(t.select(F.col("path").alias("label"), F.col("parent").alias("t_parent"), F.lit(True).alias("t_known"))), "label", "left")
     bucket = F.when(is_abstain(F.col("value")), "abstained").when(F.col("p_known").isNull() | F.col("t_known").isNull(), "unknown").when(F.col("value") == F.col("label"), "exact").when(F.startswith("label", F.concat("value", F.lit("."))), "too_shallow").when(F.col("p_parent") == F.col("t_parent"), "right_parent").otherwise("wrong")
     return joined.select("item_id", F.col("value").alias("predicted"), F.col("label").alias("truth"), bucket.alias("bucket"))
 
@@ -120,7 +121,7 @@ def fuzzy_pairs(verdicts: DataFrame, outputs: DataFrame, taxonomy: DataFrame, to
     """(one, other, n): labels that judges confuse, from what rejecting judges would say instead on rows they split."""
     split = majority(verdicts).filter("approvals > 0 AND approvals < votes").select("item_id")
     said = verdicts.filter("status = 'fail' AND instead IS NOT NULL").join(split, "item_id").join(outputs.select("item_id", "value"), "item_id").filter("instead <> value")
-    usable = said.join(F.broadcast(taxonomy.select(F.col("path").alias("instead"))), "instead").select("item_id", "value", "instead").distinct()
+    usable = said.join(small_side(taxonomy.select(F.col("path").alias("instead"))), "instead").select("item_id", "value", "instead").distinct()
     pair = usable.groupBy(F.least("value", "instead").alias("one"), F.greatest("value", "instead").alias("other")).agg(F.count("*").alias("n"))
     return pair.orderBy(F.desc("n"), "one", "other").limit(top)
 

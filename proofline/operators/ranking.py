@@ -6,9 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from proofline.functions.sizes import small_side
 from proofline.operators.assigned import is_abstain
 from proofline.operators.metrics import judged_right, majority, primary_labels, sample_items
+from proofline.operators.resampling import auc_draws
 
+RANGES = 256
 BUDGETS = (0.005, 0.01, 0.02, 0.05, 0.10, 0.20)
 
 
@@ -56,17 +59,25 @@ def degenerate_target(target: DataFrame, least: int = 30, share: float = 0.05) -
     return g.select("n", "errors", "minority", ((F.col("minority") < least) | (F.col("minority") < share * F.col("n"))).alias("degenerate"))
 
 
+def _with_lower(counts: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """counts (score, n, ...) with lower: how many rows have a lesser score. Summed within ranges that hold about equally many
+    scores, and over the ranges, so no task holds all of them.
+    """
+    cuts = counts.agg(F.percentile_approx("score", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("score"))) if cuts else F.lit(0)
+    ranged = counts.withColumn("part", part)
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("total")).withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("inside", inside).join(F.broadcast(sums), "part").withColumn("lower", F.col("before") + F.col("inside")).drop("part", "inside", "before")  # RANGES rows
+
+
 def auc(scored: DataFrame) -> DataFrame:
     """One row from (score, error): n, errors and the area under the curve, ties at their mean rank.
 
-    Scores are counted first, so ranks come from running sums over distinct scores. These are summed in two levels:
-    within ranges of the score, and over the ranges, so no one task holds all of them.
+    Scores are counted first, so ranks come from running sums over distinct scores.
     """
     d = scored.filter("score IS NOT NULL").groupBy("score").agg(F.count("*").alias("n"), F.count_if("error").alias("pos"))
-    ranged = d.withColumn("part", F.floor(F.log2(F.abs("score") + 1) * 4) * F.signum("score"))
-    sums = ranged.groupBy("part").agg(F.sum("n").alias("total")).withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranged.withColumn("inside", inside).join(F.broadcast(sums), "part").withColumn("rank", F.col("before") + F.col("inside") + (F.col("n") + 1) / 2)  # a few thousand ranges at most
+    ranked = _with_lower(d).withColumn("rank", F.col("lower") + (F.col("n") + 1) / 2)
     g = ranked.agg(F.sum("n").alias("n"), F.sum("pos").alias("errors"), F.sum(F.col("rank") * F.col("pos")).alias("ranks"))
     neg = F.col("n") - F.col("errors")
     value = F.when((F.col("errors") > 0) & (neg > 0), (F.col("ranks") - F.col("errors") * (F.col("errors") + 1) / 2) / (F.col("errors") * neg))
@@ -77,7 +88,7 @@ def recall_at_budget(scored: DataFrame, budgets: tuple[float, ...] = BUDGETS) ->
     """(budget, k, recall, precision) from (item_id, score, error): ties at the cut share what is left of the budget."""
     counts = scored.groupBy("score").agg(F.count("*").alias("n"), F.count_if("error").alias("pos"))
     total = counts.agg(F.sum("n").alias("all"), F.sum("pos").alias("errors"), F.sum(F.when(F.col("score").isNotNull(), F.col("n"))).alias("ranked"))
-    above = counts.filter("score IS NOT NULL").withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    above = _with_lower(counts.filter("score IS NOT NULL")).crossJoin(F.broadcast(total.select("ranked"))).withColumn("before", F.col("ranked") - F.col("lower") - F.col("n")).drop("ranked")  # by one row
     b = scored.sparkSession.createDataFrame([(x,) for x in budgets], "budget double").crossJoin(total).withColumn("k", F.least(F.greatest(F.lit(1), F.bround(F.col("budget") * F.col("all")).cast("long")), "ranked"))
     taken = above.crossJoin(F.broadcast(b)).withColumn("part", F.greatest(F.lit(0), F.least(F.col("n"), F.col("k") - F.col("before"))) / F.col("n"))  # by six budgets
     g = taken.groupBy("budget", "k", "errors").agg(F.sum(F.col("pos") * F.col("part")).alias("caught"))
@@ -85,7 +96,14 @@ def recall_at_budget(scored: DataFrame, budgets: tuple[float, ...] = BUDGETS) ->
 
 
 def bootstrap_auc(scored: DataFrame, resamples: int = 1000, seed: int = 7, most: int = 100_000) -> DataFrame:
-    """One row: mean and 95 % interval of the AUC over resamples of items. Scores go to the tasks as counts of at most `most` distinct values; beyond it this raises."""
+    """One row: mean and 95 % interval of the AUC over resamples of items of scored (item_id, score, error), however many.
+
+    Rows without an item_id can only be counted: their scores go to the tasks as counts of at most `most` distinct values,
+    beyond which this raises.
+    """
+    if "item_id" in scored.columns:
+        draws = auc_draws(scored, resamples, seed)
+        return draws.agg(F.count("*").alias("resamples"), F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
     d = scored.filter("score IS NOT NULL").groupBy("score").agg(F.count("*").alias("n"), F.count_if("error").alias("pos"))
     rows = d.limit(most + 1).toPandas().sort_values("score")
     if len(rows) > most:
@@ -159,7 +177,7 @@ def platt(pairs: DataFrame, least: int = 100) -> DataFrame:
 
 def apply_platt(scored: DataFrame, curves: DataFrame) -> DataFrame:
     """scored (judge, confidence, ...) with the calibrated probability."""
-    return scored.join(F.broadcast(curves.select("judge", "a", "b")), "judge").withColumn("probability", 1 / (1 + F.exp(F.col("a") * F.col("confidence") + F.col("b")))).drop("a", "b")
+    return scored.join(small_side(curves.select("judge", "a", "b")), "judge").withColumn("probability", 1 / (1 + F.exp(F.col("a") * F.col("confidence") + F.col("b")))).drop("a", "b")
 
 
 def gated_plan(flagged: DataFrame, items: DataFrame, rate: float = 0.10, seed: str = "audit:value") -> DataFrame:

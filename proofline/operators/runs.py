@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from proofline.functions.sizes import small_side
 from proofline.operators.assigned import label_shares, share_shift
 
 
@@ -56,7 +57,7 @@ def changes(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def migrated(outputs: DataFrame, mapping: DataFrame) -> DataFrame:
     """outputs with each label as the mapping (old, new) has it; dropped and unknown labels are null."""
-    return outputs.join(F.broadcast(mapping), outputs.value == mapping.old, "left").select("item_id", F.col("new").alias("value"))
+    return outputs.join(small_side(mapping), outputs.value == mapping.old, "left").select("item_id", F.col("new").alias("value"))
 
 
 def distribution_shift(a: DataFrame, b: DataFrame, mapping: DataFrame) -> DataFrame:

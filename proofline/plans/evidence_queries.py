@@ -26,11 +26,7 @@ _SAMPLED = with_sql("verdicts", "items").replace("verdicts_r AS (", "all_r AS ("
 _add("m21_panel", "verdicts items", lambda v, i: M.pairwise_agreement(E.panel(v, i)))
 G.ORACLES["m21_panel"] = f"{_SAMPLED}, {G._PHI} SELECT * FROM ph"
 _add("m27_identity_risk", "verdicts", lambda v: v.select("item_id", "judge", F.round(K.identity_risk(F.col("status"), F.col("confidence")), 6).alias("risk")), "SELECT item_id, judge, round(CASE status WHEN 'fail' THEN confidence WHEN 'pass' THEN 1 - confidence END, 6) AS risk FROM verdicts_r")
-_add("m29_cross_fitted", "verdicts outputs labels", lambda v, o, l: E.cross_fitted(M.judged_right(v, o, l).select("item_id", "judge", "confidence", (F.col("approved") == F.col("right")).alias("right"))))
 
-_add("t02_calibrated_risk", "verdicts outputs labels", lambda v, o, l: E.calibrated_risk(v, K.platt(K.judged_pairs(v, o, l))))
-_add("t14_cluster_bootstrap", "verdicts", lambda v: E.bootstrap_ci(v.filter("confidence IS NOT NULL").select("item_id", F.col("confidence").alias("value")), E.weighted_mean))
-_add("t17_recall_interval", "ratings", E.recall_interval)
 _BUDGETS = G.ORACLES["t16_recall_at_budget"].removeprefix(with_sql("ratings")).removeprefix(", ")
 _LENGTH = "SELECT item_id, CASE WHEN trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ')) END::DOUBLE AS score FROM items_r"
 _SCORES = {"raw_confidence": "SELECT * FROM rc", "output_length": _LENGTH, "panel_disagreement": "SELECT item_id, CASE WHEN votes >= 2 THEN round(1 - abs(2 * (approvals / votes) - 1), 6) END AS score FROM mj"}

@@ -108,8 +108,6 @@ _pairs = lambda f: lambda v, o, l: f(K.judged_pairs(v, o, l))
 _add("m23_confidence_pairs", _VOL, lambda v, o, l: K.judged_pairs(v, o, l).groupBy("judge", "right").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean")), _RIGHT + " SELECT judge, ok AS right, count(*) AS n, round(avg(confidence), 6) AS mean FROM jc GROUP BY 1, 2")
 _add("m24_reliability", _VOL, _pairs(K.reliability), _REL + " SELECT * FROM r")
 _add("m25_calibration_quality", _VOL, _pairs(K.calibration_quality), _REL + ", q AS (SELECT count(*) AS n, avg((confidence - ok::INT) ** 2) AS b, avg(ok::INT) AS m FROM jc WHERE confidence IS NOT NULL) SELECT n, round((SELECT sum(n * abs(stated - observed)) FROM r) / n, 5) AS ece, round(b, 6) AS brier, round(m * (1 - m), 6) AS brier_base_rate, b < m * (1 - m) AS beats_base_rate FROM q")
-_add("m28_platt", _VOL, _pairs(K.platt))
-_add("m30_calibrated_risk", _VOL, lambda v, o, l: K.apply_platt(K.judged_pairs(v, o, l), K.platt(K.judged_pairs(v, o, l))))
 
 _RAW = "rc AS (SELECT item_id, round(max(CASE status WHEN 'fail' THEN confidence WHEN 'pass' THEN 1 - confidence END), 6) AS score FROM verdicts_r GROUP BY item_id)"
 _TARGET = _PRIMARY + ", tg AS (SELECT item_id, NOT coalesce(value = label, false) AS error FROM p JOIN outputs_r USING (item_id))"
@@ -122,7 +120,6 @@ _add("t08_risk_rows", "verdicts", lambda v: K.risk_rows(K.raw_confidence(v), v),
 _add("t10_build_target", "outputs labels", K.build_target, _TARGET + " SELECT * FROM tg")
 _add("t11_degenerate_target", "outputs labels", lambda o, l: K.degenerate_target(K.build_target(o, l)), _TARGET + ", g AS (SELECT count(*) AS n, count(*) FILTER (error) AS errors FROM tg) SELECT n, errors, least(errors, n - errors) AS minority, least(errors, n - errors) < 30 OR least(errors, n - errors) < 0.05 * n AS degenerate FROM g")
 _add("t12_auc", "ratings", K.auc, "k AS (SELECT error, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM ratings_r), g AS (SELECT count(*) AS n, count(*) FILTER (error) AS errors, sum(r) FILTER (error) AS s FROM k) SELECT n, errors, round((s - errors * (errors + 1) / 2) / (errors * (n - errors)), 6) AS auc FROM g")
-_add("t13_bootstrap_auc", "ratings", K.bootstrap_auc)
 _add("t16_recall_at_budget", "ratings", K.recall_at_budget, "c AS (SELECT score, count(*) AS n, count(*) FILTER (error) AS pos FROM ratings_r GROUP BY score), a AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c), t AS (SELECT sum(n) AS total, sum(pos) AS errors FROM c), b AS (SELECT unnest([0.005, 0.01, 0.02, 0.05, 0.1, 0.2]::DOUBLE[]) AS budget), k AS (SELECT budget, least(greatest(1, round_even(budget * total, 0)::BIGINT), total)::BIGINT AS k, errors FROM b, t), s AS (SELECT budget, k, errors, sum(pos * (greatest(0, least(n, k - before)) / n)) AS caught FROM a, k GROUP BY ALL) SELECT budget, k, round(caught / errors, 6) AS recall, round(caught / k, 6) AS precision FROM s")
 _FIND = lambda o, t: A.label_in_taxonomy(o, t).select("item_id", F.lit("label_in_taxonomy").alias("check"), "status").union(A.valid_leaf(o, t).select("item_id", F.lit("valid_leaf").alias("check"), "status"))
 _FINDINGS = f"fi AS (SELECT item_id, CASE WHEN path IS NULL THEN 'fail' ELSE 'pass' END AS status FROM outputs_r LEFT JOIN taxonomy_r ON path = value WHERE NOT {DECLINES} UNION ALL SELECT item_id, CASE WHEN is_leaf THEN 'pass' ELSE 'fail' END FROM outputs_r JOIN taxonomy_r ON path = value)"
@@ -143,4 +140,4 @@ _add("b01_cache_keys", "outputs", lambda o: R.cache_keys(o, "judge-a", "scripted
 _add("b02_budget", "spend", lambda s: R.budget(s, 1_000_000), "w AS (SELECT seq, cents, coalesce(sum(cents) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM spend_r) SELECT seq, cents, CASE WHEN spent < 1000000 THEN 'called' ELSE 'unscored' END AS status FROM w")
 _add("b03_plan", "items", R.plan, "SELECT count(*) AS calls, sum(length(text) // 4)::BIGINT AS tokens, round(sum(length(text) // 4) / 1e6, 6) AS dollars FROM items_r")
 
-from proofline.plans import contract_queries, evidence_queries  # noqa: E402, F401  their queries add themselves
+from proofline.plans import contract_queries, evidence_queries, fitted_queries  # noqa: E402, F401  their queries add themselves
