@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from proofline.sources.scratch import stored
+
 TOKEN = r"[a-z0-9][a-z0-9'’\-]*"
 POSTINGS = 200
 
@@ -70,18 +72,22 @@ def shingles(texts: DataFrame, size: int = 5) -> DataFrame:
 def boilerplate(texts: DataFrame, similarity: float = 0.8, postings: int = POSTINGS) -> DataFrame:
     """(left, right, similarity): pairs of texts whose five-word shingles have that Jaccard similarity.
 
-    Candidates share a shingle that 2 to `postings` texts have, so no list gives more than a fixed number of pairs; the
-    similarity is that of the full sets.
+    Candidates share a shingle that 2 to `postings` texts have; the similarity is that of the full sets. Each text is looked
+    up by its rarest shingles alone: of sets so alike, the rarest shared shingle is among the first (1 - similarity) * size + 1
+    of both, in the order of how many texts have them. Shingles of one text count for that order and are never joined.
     """
-    sets = shingle_sets(texts)
-    per = Window.partitionBy("shingle")
+    sets = stored(shingle_sets(texts), "shingles")
     sized = sets.select("item_id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    usable = sized.withColumn("n", F.count("*").over(per)).filter(F.col("n").between(2, postings)).select("shingle", "item_id", "size")
+    counts = sized.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    of = Window.partitionBy("item_id")
+    shared = sized.join(counts, "shingle").withColumn("held", F.count("*").over(of)).filter(F.col("held") >= similarity * F.col("size") - 1e-9)
+    first = F.col("held") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+    usable = shared.withColumn("place", F.row_number().over(of.orderBy("n", "shingle"))).filter((F.col("place") <= first) & (F.col("n") <= postings)).select("shingle", "item_id", "size")
     met = usable.alias("a").join(usable.alias("b"), "shingle").filter("a.item_id < b.item_id")
     met = met.filter(F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size"))  # no pair of less alike sizes can reach it
     near = met.select(F.col("a.item_id").alias("left"), F.col("b.item_id").alias("right")).distinct()
     left = near.join(sets.select(F.col("item_id").alias("left"), F.col("shingles").alias("x")), "left")
     both = left.join(sets.select(F.col("item_id").alias("right"), F.col("shingles").alias("y")), "right")
-    shared = F.size(F.array_intersect("x", "y"))
-    scored = both.select("left", "right", (shared / (F.size("x") + F.size("y") - shared)).alias("j"))
+    both_have = F.size(F.array_intersect("x", "y"))
+    scored = both.select("left", "right", (both_have / (F.size("x") + F.size("y") - both_have)).alias("j"))
     return scored.filter(F.col("j") >= similarity).select("left", "right", F.round("j", 6).alias("similarity"))
