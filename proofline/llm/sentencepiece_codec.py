@@ -195,7 +195,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, checked: boo
     cut = cut.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk)))).withColumn("stop", F.least(F.col("start") + chunk, "n"))
     left = F.greatest(F.lit(0), F.col("start") - width)
     pieces = cut.select("d", "rid", "n", "start", "stop", left.alias("left"), F.col("whole").substr(left + 1, F.col("stop") - left + width).alias("part"))
-    pieces = pieces.repartition("d", "rid", "start")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: a chunk is few bytes and much work
+    pieces = pieces.repartition(tasks, "d", "rid", "start")
 
     def matrices(batches):
         lattice = Lattice(proto)
@@ -220,7 +221,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, checked: boo
 
     transfer = pieces.mapInPandas(matrices, "d long, rid long, start int, rows int, matrix array<double>")
     states = transfer.groupBy("d", "rid").applyInPandas(settle, "d long, rid long, start int, enter int, leave int")
-    done = pieces.join(states, ["d", "rid", "start"]).mapInPandas(traced, "d long, rid long, start int, ids array<int>")
+    done = pieces.join(states, ["d", "rid", "start"]).repartition(tasks, "d", "rid", "start").mapInPandas(traced, "d long, rid long, start int, ids array<int>")
     joined = done.groupBy("d", "rid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"])).alias("ids"))
     large = giant.select("doc_id", "d", "rid").join(joined, ["d", "rid"]).select("doc_id", "d", "rid", "ids")
     if not checked:
