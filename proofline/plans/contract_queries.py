@@ -230,7 +230,7 @@ _add("x03_content_digest", "taxonomy", lambda t: _few(t, [(_tree(t).ref, _tree(t
 _add("x04_recorded_digest", "taxonomy", recorded, _DIGEST + ", rc AS (SELECT 'same' AS record, ref, digest FROM dg UNION ALL SELECT 'edited', ref, repeat('0', 64) FROM dg UNION ALL SELECT 'other version', 'langs@v2', repeat('0', 64)) SELECT record, CASE WHEN rc.ref = dg.ref AND rc.digest <> dg.digest THEN 'refused' ELSE 'allowed' END AS verdict FROM rc, dg")
 _LEAVES = "SELECT path, parent FROM taxonomy_r WHERE path NOT IN (SELECT parent FROM taxonomy_r WHERE parent IS NOT NULL)"
 _add("x05_health", "taxonomy", lambda t: _few(t, [x for x in trees.health(_tree(t)) if not x[1].startswith("defined like")], "path string, problem string"), f"lv AS ({_LEAVES}) SELECT path, 'no examples' AS problem FROM lv UNION ALL SELECT path, 'no boundary to its siblings' FROM lv WHERE (SELECT count(*) FROM taxonomy_r s WHERE s.parent IS NOT DISTINCT FROM lv.parent) > 1 UNION ALL SELECT path, 'name used twice' FROM taxonomy_r WHERE name IN (SELECT name FROM taxonomy_r GROUP BY name HAVING count(*) > 1) UNION ALL SELECT '', 'leaves of uneven depth' FROM lv HAVING count(DISTINCT len(string_split(path, '.'))) > 1")
-_add("x05b_alike_definitions", "taxonomy", lambda t: _few(t, [x for x in trees.health(_tree(t)) if x[1].startswith("defined like")], "path string, problem string"))
+_add("x05b_alike_definitions", "taxonomy", lambda t: _few(t, [x for x in trees.health(_tree(t)) if x[1].startswith("defined like")], "path string, problem string"), "SELECT 'germanic' AS path, 'defined like romance' AS problem")  # 40 of 44 characters match
 
 
 # Comparison of runs.
@@ -352,4 +352,14 @@ def api(index: DataFrame) -> DataFrame:
 
 
 _add("v03_commands", "run_index", commands, "SELECT * FROM (VALUES ('run', 'config'), ('plan', 'config'), ('analyse', 'directory'), ('triage-eval', 'directory,config'), ('compare', 'a,b'), ('check', 'taxonomy'), ('list', ''), ('query', 'name,tables')) AS t(command, arguments)")
-_add("v04_api", "run_index", api)
+#: The public names that callers may rely on.
+_NAMES = """
+BadInput BadSetting BadTaxonomy TASKS Taxonomy abstention_rate accuracy ambiguous analyse annotator_agreement append_verdicts ask assert_no_labels auc boilerplate bootstrap_auc
+bootstrap_ci buckets budget build_target by_rules cache_keys calibrated_risk calibration_quality cannot_tell changes check_digest collect_run compare compare_strategies confusion
+copy_ratio cross_field_agreement cross_fitted defect_agreement distribution_shift drift effective_votes estimates fingerprint gate_one gate_one_rows gate_two gate_two_rows
+gated_plan grain_rates grounding_rate health health_flags judge_direction label_collapse label_in_taxonomy label_shares latest_run length_in_bounds load longest_shared_run majority
+metric_deltas migration nearest_labels over_http pairwise_agreement parse parse_claims parse_date parse_number per_label plan platt questions rare_tokens raw_confidence read_items
+read_labels read_outputs read_source recall_at_budget regenerate reliability render resolve resolve_strategy risk_rows run run_name screen specificity stability triage_eval
+valid_leaf value_in_source value_matches_human value_shape verdicts version_check vocabulary withheld
+"""
+_add("v04_api", "run_index", api, "SELECT name, name <> 'TASKS' AS callable FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES.split()) + "]) AS name)")

@@ -24,7 +24,8 @@ def _add(name: str, names: str, build: Callable[..., DataFrame], sql: str | None
 DECLINES = "(value IS NULL OR value = 'abstain')"
 
 _add("a01_label_in_taxonomy", "outputs taxonomy", A.label_in_taxonomy, f"SELECT item_id, value, CASE WHEN path IS NULL THEN 'fail' ELSE 'pass' END AS status FROM outputs_r LEFT JOIN taxonomy_r ON path = value WHERE NOT {DECLINES}")
-_add("a01b_nearest_labels", "outputs taxonomy", A.nearest_labels)
+# The one label that the outputs invent, and the three labels of the tree that difflib holds for closest.
+_add("a01b_nearest_labels", "outputs taxonomy", A.nearest_labels, "SELECT DISTINCT value, 'romance,romance.fr,romance.es' AS nearest FROM outputs_r WHERE value NOT IN (SELECT path FROM taxonomy_r) AND value <> 'abstain'")
 _add("a02_valid_leaf", "outputs taxonomy", A.valid_leaf, "SELECT item_id, value, CASE WHEN c.k IS NULL THEN 'pass' ELSE 'fail' END AS status, coalesce(c.k, '') AS children FROM outputs_r JOIN taxonomy_r t ON t.path = value LEFT JOIN (SELECT parent, string_agg(path, ',' ORDER BY path) AS k FROM taxonomy_r GROUP BY parent) c ON c.parent = t.path")
 _add("a03_abstention_allowed", "outputs", A.abstention_allowed, f"SELECT item_id, 'fail' AS status FROM outputs_r WHERE {DECLINES}")
 _add("a04_abstention_rate", "outputs", A.abstention_rate, f"g AS (SELECT count(*) AS n, count(*) FILTER ({DECLINES}) AS abstained FROM outputs_r) SELECT n, abstained, round(abstained / n, 6) AS rate, CASE WHEN n = 0 THEN 'unscored' WHEN abstained / n > 0.2 THEN 'fail' WHEN abstained / n >= 0.01 THEN 'pass' WHEN 1 / n > 0.01 THEN 'unscored' ELSE 'fail' END AS status FROM g")
