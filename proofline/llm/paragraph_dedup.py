@@ -13,6 +13,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4  # a pair at 0.8 collides with probability 1 - (1 - 0.8**4)**16 = 0.9998
 LEAST_WORDS = 20  # the default of duplicates(); shorter paragraphs stay
 CELL_ROWS = 2048
+PIECE_BYTES = 500_000
 BROADCAST_LINES = 300_000  # of documents to read again; beyond it they are joined by a shuffle
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -57,12 +58,15 @@ def shingled(texts: list[str | None], least: int):
 
 
 def _line_blocks(texts):
-    """As blocks(), but no text is cut: a long one is a block of its own."""
-    long = {i for i, t in enumerate(texts) if t is not None and len(t) > 500_000}
-    yield from blocks([None if i in long else t for i, t in enumerate(texts)], 2_000_000)
+    """As blocks(), but texts are only cut behind a line: no paragraph is in two pieces, and only a single giant one is a large piece."""
+    long = {i for i, t in enumerate(texts) if t is not None and len(t) > PIECE_BYTES}
+    yield from blocks([None if i in long else t for i, t in enumerate(texts)], 4 * PIECE_BYTES)
     for i in long:
-        for _, parts, offsets in blocks([texts[i]], 1 << 62):
-            yield np.array([i]), parts, offsets
+        raw, at = texts[i].encode("utf-8", "replace"), 0
+        while at < len(raw):
+            end = raw.find(b"\n", at + PIECE_BYTES) + 1 or len(raw)
+            yield np.array([i]), [raw[at:end]], np.array([at])
+            at = end
 
 
 def lower_bytes(data: np.ndarray) -> np.ndarray:

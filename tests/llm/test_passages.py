@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from proofline.llm import passages, queries
+from proofline.llm import paragraph_dedup, passages, queries
 from proofline.llm.paragraph_dedup import duplicates
 
 SF = "/root/testdata/sf0.001"
@@ -150,3 +150,13 @@ def test_the_query_is_both(spark):
     lines = {(r.doc_id, r.place, r.removed) for r in rows if r.kind == "paragraph"}
     assert lines == {(r.doc_id, r.line, r.removed) for r in duplicates(docs, 20).collect()}
     assert {(r.doc_id, r.place) for r in rows if r.kind == "passage"} == {(r.doc_id, r.start) for r in passages.passages(docs).collect()}
+
+
+def test_paragraphs_of_long_texts_come_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    line = lambda: " ".join(f"z{rng.randrange(99)}" for _ in range(rng.randrange(0, 30)))
+    texts = ["\n".join(line() for _ in range(60)), None, "one line " * 50, "\n\n", "\n".join(line() for _ in range(40)) + "\n"]
+    seen = lambda: {(int(r), int(x), int(n), int(w)) for row, at, size, whole, _, _ in paragraph_dedup.shingled(texts, 1) for r, x, n, w in zip(row, at, size, whole)}
+    whole = seen()
+    monkeypatch.setattr(paragraph_dedup, "PIECE_BYTES", 100)
+    assert seen() == whole and len(whole) > 80
