@@ -14,6 +14,7 @@ SAMPLE_ROWS = 20_000  # vectors that the index is fitted on
 PARTS, CODES = 16, 256
 MOST_LISTS = 4096
 BLOCK_ROWS = 8192  # rows of a list that one task holds
+QUERY_ROWS = 8192  # queries of a list that one task holds
 RERANK = 32  # rows of a block that are compared exactly first, for each query; they set how far the others are compared
 TOP = 5
 REACH = 0.96  # share of the sample's true neighbours that must lie in the probed lists
@@ -98,12 +99,13 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, every: int = 50, top: int = TOP, lists: int | None = None, probes: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, top: int = TOP, lists: int | None = None, probes: int | None = None, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The `top` nearest by cosine of each query (vec_id divisible by `every`): query_id, rank, vec_id, score.
 
     The index is fitted on at most SAMPLE_ROWS vectors, the first by a hash of vec_id; every vector is indexed. There are
     about four lists for each square root of the rows, MOST_LISTS at most; as many of them (16 at least) are probed as hold
-    a share REACH of the true neighbours within the sample, so clustered vectors need few and scattered ones many. A list is dealt into blocks of BLOCK_ROWS, so equal vectors that fill one list are spread over tasks; each block ranks
+    a share REACH of the true neighbours within the sample, so clustered vectors need few and scattered ones many. A list is dealt into blocks of BLOCK_ROWS, so equal vectors that fill one list are spread over tasks, and its queries into sheets of query_rows that each
+    meet every block; each block ranks
     its codes by asymmetric distances, compares the best RERANK in double precision, then every row that the quantisation
     error, known part by part, would let reach the best of these, and passes on its best: within the probed lists the result
     is exact. Ties go to the smaller vec_id throughout. Vectors null, zero, of another length than most, or with null or non-finite
@@ -142,9 +144,12 @@ def search(vectors: DataFrame, every: int = 50, top: int = TOP, lists: int | Non
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column("vec_id").take(at), b.column("v").take(at)], ["list", "query_id", "v"])
 
     indexed = cut_table(rows.mapInArrow(coded, "list int, vec_id long, codes binary, v array<double>"))
-    sizes = F.broadcast(indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))  # MOST_LISTS rows at most
-    dealt = indexed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-    asked = rows.filter(F.col("vec_id") % every == 0).mapInArrow(probed, "list int, query_id long, v array<double>").join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    aimed = rows.filter(F.col("vec_id") % every == 0).mapInArrow(probed, "list int, query_id long, v array<double>")
+    many = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = F.broadcast(cut(many(indexed, BLOCK_ROWS, "blocks").join(many(aimed, query_rows, "sheets"), "list")))  # MOST_LISTS rows at most
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = indexed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("sheet", span("sheets"))
+    asked = aimed.join(sizes, "list").withColumn("sheet", F.pmod(F.xxhash64("query_id"), "sheets").cast("int")).withColumn("block", span("blocks"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -183,6 +188,6 @@ def search(vectors: DataFrame, every: int = 50, top: int = TOP, lists: int | Non
                 out[2].append(score[keep])
         return pa.table(dict(zip(names, (np.concatenate(o) for o in out))))
 
-    close = dealt.select("list", "block", "vec_id", "codes", "v").groupBy("list", "block").cogroup(asked.select("list", "block", "query_id", "v").groupBy("list", "block")).applyInArrow(nearest, "query_id long, vec_id long, score double")
+    close = dealt.select("list", "block", "sheet", "vec_id", "codes", "v").groupBy("list", "block", "sheet").cogroup(asked.select("list", "block", "sheet", "query_id", "v").groupBy("list", "block", "sheet")).applyInArrow(nearest, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return close.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

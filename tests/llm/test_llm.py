@@ -457,3 +457,10 @@ def test_bit_sliced_comparison_of_pairs(values, radius):
     right = np.array([v ^ sum(1 << (7 * k + v % 7) for k in range(n)) for v, n in values], np.uint64)
     got = simhash.near_pairs(left, right, radius, block=64)
     assert got.tolist() == [int(a ^ b).bit_count() <= radius for a, b in zip(left.tolist(), right.tolist())]
+
+
+def test_queries_of_a_list_in_sheets(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(list(enumerate(rng.normal(size=(600, 8)).tolist())), "vec_id long, embedding array<double>")
+    whole, sheets = (sorted(map(tuple, ivfpq.search(df, every=5, lists=4, probes=4, query_rows=n).collect())) for n in (8192, 7))
+    assert whole == sheets and len(whole) == 600
