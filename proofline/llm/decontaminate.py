@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from proofline.llm.common import cut, keyed, marked, small
+from proofline.llm.common import cut, cut_table, keyed, marked, small
 
 WINDOW = 13
 LISTS = 3  # posting lists that are intersected
@@ -36,9 +36,14 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return runs.select("item_id", F.array_join("run", " ").alias("phrase"), F.size("run").alias("size")).distinct()
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, d, w): the words of every row, as a table, so that they are split once and read three times."""
+    return cut_table(keyed(docs).select("doc_id", "rid", "d", words(F.col("text")).alias("w")))
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(rid, d, pos, term) of the given terms (term) in docs (rid, d, text)."""
-    return docs.select("rid", "d", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(terms, "term")
+    """(rid, d, pos, term) of the given terms (term) in docs (rid, d, w)."""
+    return docs.select("rid", "d", F.posexplode("w").alias("pos", "term")).join(terms, "term")
 
 
 def candidates(docs: DataFrame, phrases: DataFrame, lists: int = LISTS) -> DataFrame:
@@ -46,7 +51,7 @@ def candidates(docs: DataFrame, phrases: DataFrame, lists: int = LISTS) -> DataF
     offsets = phrases.select("phrase", "size", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
     offsets = cut(offsets)
     vocabulary = _small_terms(offsets.select("term").distinct())
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode("w").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     counts = cut(counts)
     scored = offsets.join(counts, "term", "left").groupBy("phrase", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("t"))
     scored = scored.filter("t[0].n > 0").select("phrase", "size", F.slice("t", 1, lists).alias("t"))
@@ -60,12 +65,12 @@ def candidates(docs: DataFrame, phrases: DataFrame, lists: int = LISTS) -> DataF
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(hits, counts): hits (rid, d, start, size, phrase) of exact windows, counts (doc_id, rid, d, n_words) of every row."""
-    rows = keyed(docs)
+    rows = tokenised(docs)
     phrases = cut(windows(benchmark, window))
     distinct = phrases.select("phrase", "size").distinct()
-    found = candidates(rows.select("rid", "d", "text"), distinct)
+    found = candidates(rows, distinct)
     places = cut(found.groupBy("rid", "d").agg(F.collect_set(F.struct("start", "size")).alias("places")))
-    split = rows.join(small(places, 32 + 24 * F.size("places")), ["rid", "d"], "left").select("doc_id", "rid", "d", words(F.col("text")).alias("w"), "places")
+    split = rows.join(small(places, 32 + 24 * F.size("places")), ["rid", "d"], "left").select("doc_id", "rid", "d", "w", "places")
     taken = split.select("doc_id", "rid", "d", F.size("w").alias("n_words"), F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"), F.array_join(F.slice("w", p["start"] + 1, p["size"]), " ").alias("phrase"))).alias("p"))
     taken = cut(taken)
     hits = taken.filter("p is not null").select("rid", "d", F.explode("p").alias("p")).select("rid", "d", "p.start", "p.size", "p.phrase").distinct()
@@ -117,16 +122,16 @@ def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach
     document has are missed already. Each place of one is judged by all spans over it, so every span is found. Null and
     word-free texts match nothing.
     """
-    rows = keyed(docs)
+    rows = tokenised(docs)
     phrases = cut(windows(benchmark, window))
     vocabulary = phrases.select("item_id", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term"))
-    counts = rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(_small_terms(vocabulary.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = rows.select(F.explode(F.array_distinct("w")).alias("term")).join(_small_terms(vocabulary.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     wanted = F.array_distinct(F.split("phrase", " "))
     need = F.greatest(F.lit(1), F.ceil(F.size(wanted) * share - 1e-9).cast("int"))
     rare = vocabulary.join(counts, "term").groupBy("item_id", "phrase").agg(F.sort_array(F.collect_list(F.struct("n", "term"))).alias("t")).withColumn("need", need).filter(F.size("t") >= F.col("need"))
     rare = cut(rare.select("item_id", "phrase", "need", F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("need") + 1)).alias("t")).select("item_id", "phrase", "need", "t.term"))
     posts = postings(rows, _small_terms(rare.select("term").distinct())).groupBy("rid", "d").agg(F.collect_set(F.struct("pos", "term")).alias("places"))
-    near = rows.join(posts, ["rid", "d"]).select("doc_id", words(F.col("text")).alias("w"), "places")
+    near = rows.join(posts, ["rid", "d"]).select("doc_id", "w", "places")
     first = lambda p: F.greatest(p["pos"] - reach + 1, F.lit(0))
     around = near.select("doc_id", F.explode(F.transform("places", lambda p: F.struct(p["term"].alias("term"), p["pos"].alias("pos"), first(p).alias("first"), F.slice("w", first(p) + 1, p["pos"] - first(p) + reach).alias("wide")))).alias("p")).select("doc_id", "p.*")
     held = lambda span: F.size(F.array_intersect(span, wanted))
