@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from proofline.operators.ranking import auc
+from proofline.operators.ranking import auc, degenerate_target
 
 #: The figures that a finding of each gate withholds.
 WITHHOLDS = {"scripted_judge": ("judge.approval_rate", "panel.agreement", "panel.effective_votes", "triage.validated", "gate2.auc"), "judge_health": ("panel.agreement", "panel.effective_votes"), "degenerate_target": ("gate2.auc", "triage.auc"), "no_ranker": ("gate2.auc",), "loses_to_baseline": ("triage.validated",)}
@@ -58,16 +58,19 @@ def scored_strategies(strategies: dict[str, DataFrame], target: DataFrame) -> Da
     return out
 
 
-def gate_two_rows(scored: DataFrame, ranker: str, low: DataFrame) -> DataFrame:
-    """(id, severity, about) of scored_strategies(): low (low) is the lower end of the ranker's interval, which has to clear the
-    best other area. Nothing said means that it does.
+def gate_two_rows(scored: DataFrame, ranker: str, low: DataFrame, target: DataFrame) -> DataFrame:
+    """(id, severity, about) of scored_strategies() on target (item_id, error): low (low) is the lower end of the ranker's
+    interval, which has to clear the best other area. A target with too few of either kind says nothing else. Nothing said
+    means that the ranker is better; no target at all gives no row either, as there was nothing to measure.
     """
     mine = scored.filter(F.col("strategy") == ranker).select("auc", "unranked", "unranked_errors")
     best = scored.filter((F.col("strategy") != ranker) & F.col("auc").isNotNull()).agg(F.max(F.struct("auc", "strategy")).alias("best"))
-    all_ = mine.crossJoin(best).crossJoin(low.select("low"))  # one row by one by one
+    kinds = degenerate_target(target).filter("n > 0").select("minority", "degenerate")
+    all_ = mine.crossJoin(best).crossJoin(low.select("low")).crossJoin(kinds)  # one row by one by one by one
     s = lambda i, severity, about: F.struct(F.lit(i).alias("id"), F.lit(severity).alias("severity"), about.cast("string").alias("about"))
-    first = F.when(F.col("auc").isNull(), s("no_ranker", "stop", F.lit(ranker))).when(F.col("best").isNull(), s("no_baseline", "warn", F.lit(ranker))).when(F.coalesce(F.col("low") <= F.col("best.auc"), F.lit(True)), s("loses_to_baseline", "stop", F.col("best.strategy")))
-    second = F.when(F.col("unranked_errors") > 0, s("unranked_errors", "warn", F.col("unranked_errors")))
+    few = F.col("degenerate")
+    first = F.when(few, s("degenerate_target", "stop", F.col("minority"))).when(F.col("auc").isNull(), s("no_ranker", "stop", F.lit(ranker))).when(F.col("best").isNull(), s("no_baseline", "warn", F.lit(ranker))).when(F.coalesce(F.col("low") <= F.col("best.auc"), F.lit(True)), s("loses_to_baseline", "stop", F.col("best.strategy")))
+    second = F.when(~few & (F.col("unranked_errors") > 0), s("unranked_errors", "warn", F.col("unranked_errors")))
     return all_.select(F.explode(F.array_compact(F.array(first, second))).alias("g")).select("g.*")
 
 

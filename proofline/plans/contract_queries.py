@@ -190,12 +190,12 @@ _scored = lambda v, o, l, i: U.scored_strategies({"raw_confidence": K.raw_confid
 _AREA = lambda name, sql: f"SELECT '{name}' AS strategy, count(score) AS n, count(score) FILTER (error) AS errors, round((sum(r) FILTER (error AND score IS NOT NULL) - (count(score) FILTER (error)) * (count(score) FILTER (error) + 1) / 2) / ((count(score) FILTER (error)) * (count(score) FILTER (NOT error))), 6) AS auc, count(*) FILTER (score IS NULL) AS unranked, count(*) FILTER (score IS NULL AND error) AS unranked_errors FROM (SELECT score, error, rank() OVER (ORDER BY score NULLS LAST) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM tg LEFT JOIN ({'WITH ' if not sql.startswith('SELECT') else ''}{sql}) s USING (item_id))"
 _VOLI = "verdicts outputs labels items"
 _AREAS = f"{G._TARGET}, {G._RAW}, {G._MAJ}, sa AS ({' UNION ALL '.join(_AREA(k, s) for k, s in _RANKED.items())})"
-_GATE2 = _AREAS + ", mine AS (SELECT *, auc / (2 - auc) AS q1, 2 * auc * auc / (1 + auc) AS q2, errors::DOUBLE AS p, (n - errors)::DOUBLE AS m FROM sa WHERE strategy = 'raw_confidence'), lo AS (SELECT *, auc - 1.96 * sqrt((auc * (1 - auc) + (p - 1) * (q1 - auc * auc) + (m - 1) * (q2 - auc * auc)) / (p * m)) AS low FROM mine), be AS (SELECT max(struct_pack(auc := auc, strategy := strategy)) AS best FROM sa WHERE strategy <> 'raw_confidence' AND auc IS NOT NULL), g2 AS (SELECT 'loses_to_baseline' AS id, 'stop' AS severity, best.strategy AS about FROM lo, be WHERE coalesce(low <= best.auc, true) UNION ALL SELECT 'unranked_errors', 'warn', unranked_errors::VARCHAR FROM lo WHERE unranked_errors > 0)"
+_GATE2 = _AREAS + ", mine AS (SELECT *, auc / (2 - auc) AS q1, 2 * auc * auc / (1 + auc) AS q2, errors::DOUBLE AS p, (n - errors)::DOUBLE AS m FROM sa WHERE strategy = 'raw_confidence'), lo AS (SELECT *, auc - 1.96 * sqrt((auc * (1 - auc) + (p - 1) * (q1 - auc * auc) + (m - 1) * (q2 - auc * auc)) / (p * m)) AS low FROM mine), be AS (SELECT max(struct_pack(auc := auc, strategy := strategy)) AS best FROM sa WHERE strategy <> 'raw_confidence' AND auc IS NOT NULL), dt AS (SELECT least(e, n - e) AS minority, least(e, n - e) < 30 OR least(e, n - e) < 0.05 * n AS few FROM (SELECT count(*) AS n, count(*) FILTER (error) AS e FROM tg)), g2 AS (SELECT 'degenerate_target' AS id, 'stop' AS severity, minority::VARCHAR AS about FROM dt WHERE few UNION ALL SELECT 'loses_to_baseline', 'stop', best.strategy FROM lo, be, dt WHERE NOT few AND coalesce(low <= best.auc, true) UNION ALL SELECT 'unranked_errors', 'warn', unranked_errors::VARCHAR FROM lo, dt WHERE NOT few AND unranked_errors > 0)"
 
 
 def _gate_two(v: DataFrame, o: DataFrame, l: DataFrame, i: DataFrame) -> DataFrame:
     s = _scored(v, o, l, i)
-    return U.gate_two_rows(s, "raw_confidence", U.normal_low(s, "raw_confidence"))
+    return U.gate_two_rows(s, "raw_confidence", U.normal_low(s, "raw_confidence"), K.build_target(o, l))
 
 
 _add("t20_gate_two", _VOLI, _gate_two, _GATE2 + " SELECT * FROM g2")

@@ -229,3 +229,17 @@ def test_public_names_are_there():
 def test_lines_of_an_object_keep_nulls(spark, tmp_path):
     writers.write_lines(spark.createDataFrame([("1", None)], "a string, b string"), str(tmp_path / "x.jsonl"))
     assert spark.read.text(str(tmp_path / "x.jsonl")).first().value == '{"a":"1","b":null}'
+
+
+def test_gate_two_speaks_of_a_poor_target_alone(spark):
+    rows = [(str(i), i % 20 == 0, float(i % 20 == 0)) for i in range(100)]
+    target = spark.createDataFrame([(i, e) for i, e, _ in rows], "item_id string, error boolean")
+    rank = lambda t, right: {"mine": t.selectExpr("item_id", "CAST(error AS double) AS score" if right else "CAST(hash(item_id) AS double) AS score"), "other": t.selectExpr("item_id", "CAST(length(item_id) AS double) AS score")}
+
+    def gate(t, right):
+        s = guardrails.scored_strategies(rank(t, right), t)
+        return {(r.id, r.severity) for r in guardrails.gate_two_rows(s, "mine", guardrails.normal_low(s, "mine"), t).collect()}
+
+    assert gate(target, True) == {("degenerate_target", "stop")}
+    better = spark.createDataFrame([(str(i), i % 3 == 0) for i in range(300)], "item_id string, error boolean")
+    assert gate(better, True) == set() and gate(better, False) == {("loses_to_baseline", "stop")}
