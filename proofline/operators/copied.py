@@ -74,9 +74,13 @@ def value_shape(values: DataFrame, column: str, kind: str) -> DataFrame:
 def value_in_source(values: DataFrame, column: str, kind: str, verbatim: bool = False) -> DataFrame:
     """(item_id, status, candidates) of values (item_id, source, <column>)."""
     v = F.col(column)
-    hit = found(v, F.col("source"), kind, verbatim)
+    # Columns of their own, so that a source is searched once and the value is not read anew for every candidate.
+    read = values.filter(v.isNotNull() & (F.trim(v) != "")).select("item_id", "source", v.alias("value"), parsed(v, kind).alias("read"), candidates(F.col("source"), kind).alias("held"))
+    hit = found(F.col("value"), F.col("source"), kind, verbatim)
+    if kind != "text" and not verbatim:
+        hit = F.when(F.col("read").isNotNull(), F.exists("held", lambda c: F.coalesce(parsed(c, kind) == F.col("read"), F.lit(False))))
     status = F.when(hit.isNull(), "unscored").when(hit, "pass").otherwise("fail")
-    return values.filter(v.isNotNull() & (F.trim(v) != "")).select("item_id", status.alias("status"), F.size(candidates(F.col("source"), kind)).cast("long").alias("candidates"))
+    return read.select("item_id", status.alias("status"), F.size("held").cast("long").alias("candidates"))
 
 
 def ambiguous(values: DataFrame, kind: str, above: int = 1) -> DataFrame:
