@@ -138,3 +138,18 @@ def test_names_that_begin_alike_are_told_apart(spark):
     for r in got:
         by_shard.setdefault(r.shard, set()).add(rows[r.doc_id][3])
     assert len(by_shard) == 26 and all(len(s) <= 2 for s in by_shard.values())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    from proofline.llm.common import shared_dir
+
+    spark = MagicMock()
+    spark.sparkContext._jsc.sc.return_value.getCheckpointDir.return_value.isEmpty.return_value = True
+    spark.sparkContext.master, spark.conf.get.return_value = "spark://host:7077", None
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(spark)
+    spark.conf.get.return_value = "hdfs://shared/folder"
+    shared_dir(spark)
+    spark.sparkContext.setCheckpointDir.assert_called_once_with("hdfs://shared/folder")
