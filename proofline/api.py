@@ -12,6 +12,7 @@ from proofline.operators.judging import TASKS, ask, by_rules, collect_run, over_
 from proofline.operators.metrics import accuracy, annotator_agreement, buckets, confusion, effective_votes, grain_rates, judge_direction, majority, pairwise_agreement, per_label, screen
 from proofline.operators.ranking import auc, bootstrap_auc, build_target, calibration_quality, gated_plan, platt, raw_confidence, recall_at_budget, reliability, risk_rows
 from proofline.operators.runs import budget, cache_keys, changes, distribution_shift, plan, stability
+from proofline.plans.audit import Field, audit, suspicious
 from proofline.plans.project import analyse, compare, load, run, triage_eval
 from proofline.sources.readers import BadInput, read_items, read_labels, read_outputs, read_source
 from proofline.sources.writers import append_verdicts, latest_run, run_name

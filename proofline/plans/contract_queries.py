@@ -354,12 +354,12 @@ def api(index: DataFrame) -> DataFrame:
 _add("v03_commands", "run_index", commands, "SELECT * FROM (VALUES ('run', 'config'), ('plan', 'config'), ('analyse', 'directory'), ('triage-eval', 'directory,config'), ('compare', 'a,b'), ('check', 'taxonomy'), ('list', ''), ('query', 'name,tables')) AS t(command, arguments)")
 #: The public names that callers may rely on.
 _NAMES = """
-BadInput BadSetting BadTaxonomy TASKS Taxonomy abstention_rate accuracy ambiguous analyse annotator_agreement append_verdicts ask assert_no_labels auc boilerplate bootstrap_auc
+BadInput BadSetting BadTaxonomy Field TASKS Taxonomy abstention_rate accuracy ambiguous analyse annotator_agreement append_verdicts ask assert_no_labels auc audit boilerplate bootstrap_auc
 bootstrap_ci buckets budget build_target by_rules cache_keys calibrated_risk calibration_quality cannot_tell changes check_digest collect_run compare compare_strategies confusion
 copy_ratio cross_field_agreement cross_fitted defect_agreement distribution_shift drift effective_votes estimates fingerprint gate_one gate_one_rows gate_two gate_two_rows
 gated_plan grain_rates grounding_rate health health_flags judge_direction label_collapse label_in_taxonomy label_shares latest_run length_in_bounds load longest_shared_run majority
 metric_deltas migration nearest_labels over_http pairwise_agreement parse parse_claims parse_date parse_number per_label plan platt questions rare_tokens raw_confidence read_items
-read_labels read_outputs read_source recall_at_budget regenerate reliability render resolve resolve_strategy risk_rows run run_name screen specificity stability triage_eval
+read_labels read_outputs read_source recall_at_budget regenerate reliability render resolve resolve_strategy risk_rows run run_name screen specificity stability suspicious triage_eval
 valid_leaf value_in_source value_matches_human value_shape verdicts version_check vocabulary withheld
 """
 _add("v04_api", "run_index", api, "SELECT name, name <> 'TASKS' AS callable FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES.split()) + "]) AS name)")

@@ -25,6 +25,8 @@ PROJECTIONS = {
       CASE WHEN o_orderkey % 37 = 0 THEN 'unknown' WHEN o_orderkey % 11 = 0 THEN '99999999' WHEN o_orderkey % 5 = 0 THEN concat('$ ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '.5') ELSE concat(CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '.50') END AS number,
       CASE WHEN o_orderkey % 41 = 0 THEN '2024-02-30' WHEN o_orderkey % 7 = 0 THEN 'March 3, 1996' WHEN o_orderkey % 6 = 0 THEN '04/05/1996' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS date,
       concat(CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '.50') AS human FROM {orders}""",
+    "wide": f"""SELECT CAST(doc_id AS STRING) AS item_id, CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN 'germanic' WHEN doc_id % 23 = 0 THEN 'romance.pt' ELSE {TRUTH} END AS lang,
+      CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 5 = 0 THEN 'one and the same words for many documents of all kinds' ELSE substr(text, 20, 240) END AS summary, CASE WHEN doc_id % 3 = 0 THEN 'unknown' WHEN doc_id % 2 = 0 THEN regexp_extract(text, '([0-9]+)', 1) ELSE '17' END AS total FROM {{documents}}""",
     "before": "SELECT event_type AS label FROM {events} WHERE ts < TIMESTAMP '2024-01-16 00:00:00'",
     "after": "SELECT event_type AS label FROM {events} WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'",
     "generations": "SELECT CAST(l_orderkey AS STRING) AS item_id, CAST(l_linenumber AS BIGINT) AS generation, l_returnflag AS value FROM {lineitem}",

@@ -141,4 +141,4 @@ _add("b01_cache_keys", "outputs", lambda o: R.cache_keys(o, "judge-a", "scripted
 _add("b02_budget", "spend", lambda s: R.budget(s, 1_000_000), "w AS (SELECT seq, cents, coalesce(sum(cents) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM spend_r) SELECT seq, cents, CASE WHEN spent < 1000000 THEN 'called' ELSE 'unscored' END AS status FROM w")
 _add("b03_plan", "items", R.plan, "SELECT count(*) AS calls, sum(length(text) // 4)::BIGINT AS tokens, round(sum(length(text) // 4) / 1e6, 6) AS dollars FROM items_r")
 
-from proofline.plans import contract_queries, evidence_queries, fitted_queries  # noqa: E402, F401  their queries add themselves
+from proofline.plans import audit_queries, contract_queries, evidence_queries, fitted_queries  # noqa: E402, F401  their queries add themselves
