@@ -35,6 +35,7 @@ class Lattice:
         self.ids = {self.sp.id_to_piece(i): i for i in plain}
         self.scores = {self.sp.id_to_piece(i): self.sp.get_score(i) for i in plain}
         self.width = max(map(len, self.ids), default=1)
+        self.heads = {p[:k] for p in self.ids for k in range(2, len(p) + 1)}  # what a longer piece can begin with
         self.known: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -57,7 +58,14 @@ class Lattice:
 
     def pieces_at(self, text: str, i: int) -> list[int]:
         """Ends of the pieces of text that begin at i; a single character is always one."""
-        return [i + 1] + [j for j in range(i + 2, min(len(text), i + self.width) + 1) if text[i:j] in self.ids]
+        out = [i + 1]
+        for j in range(i + 2, min(len(text), i + self.width) + 1):
+            head = text[i:j]
+            if head not in self.heads:
+                break
+            if head in self.ids:
+                out.append(j)
+        return out
 
     def numbers(self, piece: str) -> list[int]:
         i = self.ids.get(piece)
