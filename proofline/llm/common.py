@@ -101,7 +101,7 @@ def byte_set(inside) -> np.ndarray:
 #: Bytes that separate tokens, and bytes that separate bare words.
 SPACES = byte_set(lambda b: b in (9, 10, 11, 12, 13, 32))
 NO_WORD = byte_set(lambda b: b < 128 and not chr(b).isalnum())
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000  # of text that is hashed at once: 50 times as many bytes of arrays
 
 
 def blocks(texts: list[str | None], size: int = BLOCK_BYTES):

@@ -60,7 +60,7 @@ def shingled(texts: list[str | None], least: int):
 def _line_blocks(texts):
     """As blocks(), but texts are only cut behind a line: no paragraph is in two pieces, and only a single giant one is a large piece."""
     long = {i for i, t in enumerate(texts) if t is not None and len(t) > PIECE_BYTES}
-    yield from blocks([None if i in long else t for i, t in enumerate(texts)], 4 * PIECE_BYTES)
+    yield from blocks([None if i in long else t for i, t in enumerate(texts)], 2 * PIECE_BYTES)
     for i in long:
         raw, at = texts[i].encode("utf-8", "replace"), 0
         while at < len(raw):

@@ -51,7 +51,7 @@ class Lattice:
     def follows(self, a: str, b: str) -> bool:
         got = self.known.get((a, b))
         if got is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > 250_000:
                 self.known.clear()
             got = self.known[a, b] = self.merged(a + b) == [a, b]
         return got
