@@ -10,6 +10,7 @@ from proofline.operators.free_text import POSTINGS, shingle_sets
 from proofline.operators.metrics import decisions, primary_labels
 from proofline.sources.scratch import stored
 
+
 def outputs_with_items(outputs: DataFrame, items: DataFrame) -> DataFrame:
     """Outputs whose item is known, with its text."""
     return outputs.join(items.select("item_id", "text"), "item_id")

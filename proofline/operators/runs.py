@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from proofline.functions.sizes import small_side
-from proofline.operators.assigned import label_shares, share_shift
+from proofline.operators.assigned import is_abstain, label_shares, share_shift
 
 
 def duplicate_ids(items: DataFrame) -> DataFrame:
@@ -64,6 +64,13 @@ def distribution_shift(a: DataFrame, b: DataFrame, mapping: DataFrame) -> DataFr
     return share_shift(label_shares(migrated(a, mapping)), label_shares(migrated(b, mapping)))
 
 
+def untranslated(outputs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(value, why, n): answers that a mapping (old, new) leaves out of a comparison, because it drops the label or does not know it."""
+    known = small_side(mapping.select(F.col("old").alias("value"), "new", F.lit(True).alias("known")))
+    lost = outputs.filter(~is_abstain(F.col("value"))).join(known, "value", "left").filter("new IS NULL")
+    return lost.groupBy("value", F.when(F.col("known"), "dropped").otherwise("unknown").alias("why")).agg(F.count("*").alias("n"))
+
+
 def merged_labels(mapping: DataFrame) -> DataFrame:
     return mapping.filter("new IS NOT NULL").groupBy("new").agg(F.count("*").alias("n"), F.concat_ws(",", F.sort_array(F.collect_list("old"))).alias("olds")).filter("n > 1")
 

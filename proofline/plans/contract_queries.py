@@ -257,6 +257,7 @@ _add("k03_version_check", "trees_a trees_b moves", U.version_check, "SELECT a.id
 _changes = lambda o, s, t: R.changes(_ok(o, t), _ok(s, t))
 _CHANGES = _head(G.ORACLES["k05_changes"], "outputs", "second_run", "taxonomy")
 _COUNTS = f"ch AS (WITH {_CHANGES}), cn AS (SELECT coalesce(sum(n) FILTER (change = 'improved'), 0)::BIGINT AS u, coalesce(sum(n) FILTER (change = 'regressed'), 0)::BIGINT AS d, coalesce(sum(n) FILTER (change = 'unchanged'), 0)::BIGINT AS s FROM ch)"
+_add("k06b_untranslated", "outputs migration", R.untranslated, f"SELECT value, CASE WHEN old IS NULL THEN 'unknown' ELSE 'dropped' END AS why, count(*) AS n FROM outputs_r LEFT JOIN migration_r ON old = value WHERE NOT {G.DECLINES} AND new IS NULL GROUP BY ALL")
 _add("k07_withheld_verdict", "outputs second_run taxonomy", lambda o, s, t: U.withheld_verdict(_changes(o, s, t)), _COUNTS + " SELECT u || ' improved and ' || d || ' regressed of ' || (u + d + s) || ' shared, net ' || (u - d) || ': no result without a test over the items that differ' AS line FROM cn WHERE u + d + s > 0")
 
 
