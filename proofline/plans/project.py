@@ -10,7 +10,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofline.functions import gates, settings, taxonomy as trees
-from proofline.operators import assigned, evidence, metrics, ranking, runs
+from proofline.operators import assigned, evidence, guardrails, metrics, ranking, runs
 from proofline.sources.readers import BadInput, read_items, read_labels, read_outputs
 from proofline.sources.writers import append_index, append_verdicts, run_name, write_table
 
@@ -90,15 +90,40 @@ def loaded(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/run").first().value) | {k: spark.read.parquet(f"{path}/{k}") for k in ("findings", "outputs", "verdicts")}
 
 
+def strategies(held: Mapping[str, DataFrame], items: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Rankings (item_id, score) of a finished run: the judge's, and what it has to beat."""
+    out = {"raw_confidence": ranking.raw_confidence(held["verdicts"]), "panel_disagreement": ranking.panel_disagreement(held["verdicts"]), "majority_label": ranking.majority_label(held["outputs"])}
+    return out if items is None else out | {"output_length": ranking.output_length(items), "random": ranking.hash_uniform(items)}
+
+
 def analyse(spark: SparkSession, path: str, config: Mapping | None = None, tree: trees.Taxonomy | None = None) -> list[tuple[str, object]]:
-    """(name, value) of a finished run, without a call; what needs human labels is None without them."""
+    """(name, value) of a finished run, without a call; what needs human labels is None without them.
+
+    What a gate says is listed as `gate: ...`, and what it withholds as `withheld: ...`. All tables that come to the driver
+    have a row for each check, judge, strategy or gate.
+    """
     held = loaded(spark, path)
-    rates, votes = metrics.grain_rates(held["findings"]).first(), metrics.effective_votes(held["verdicts"]).first()
+    health, panel = metrics.screen(held["verdicts"]), metrics.effective_votes(held["verdicts"])
+    rates, votes = metrics.grain_rates(held["findings"]).first(), panel.first()
     out = [("findings", rates.findings), ("field rate", rates.field_rate), ("item rate", rates.item_rate), ("effective votes", votes.votes)]
-    out += [(f"health of {r.judge}", r.flag) for r in metrics.screen(held["verdicts"]).orderBy("judge").collect()]
+    passed = held["findings"].filter(F.col("status").isin("pass", "fail")).groupBy("check").agg(F.avg((F.col("status") == "pass").cast("int")).alias("share"))
+    out += [(f"passed {r.check}", r.share) for r in passed.orderBy("check").collect()]
+    out += [(f"health of {r.judge}", r.flag) for r in health.orderBy("judge").collect()]
     rel = relations(spark, config, tree) if config and tree and config.get("labels") else None
-    acc = metrics.accuracy(metrics.buckets(held["outputs"], rel["labels"], rel["taxonomy"])).first() if rel else None
-    return [*out, ("accuracy", acc and acc.accuracy), ("macro F1", acc and acc.macro_f1)]
+    gate = guardrails.gate_one_rows(health, panel, held["outputs"], health.select("judge").limit(0))
+    acc = pairs = quality = None
+    if rel:
+        acc = metrics.accuracy(metrics.buckets(held["outputs"], rel["labels"], rel["taxonomy"])).first()
+        pairs = metrics.annotator_agreement(rel["labels"]).first()
+        quality = ranking.calibration_quality(ranking.judged_pairs(held["verdicts"], held["outputs"], rel["labels"])).first()
+        target = ranking.build_target(held["outputs"], rel["labels"])
+        scored = guardrails.scored_strategies(strategies(held, rel["items"]), target)
+        gate = gate.union(guardrails.gate_two_rows(scored, "raw_confidence", guardrails.normal_low(scored, "raw_confidence"), target))
+    out += [("accuracy", acc and acc.accuracy), ("macro F1", acc and acc.macro_f1), ("annotators agree", pairs and pairs.agreement), ("calibration gap", quality and quality.ece)]
+    if rel:
+        out += [(f"area of {r.strategy}", r.auc) for r in scored.orderBy("strategy").collect()]
+    out += [(f"gate: {r.id}", f"{r.severity}, {r.about}") for r in gate.orderBy("id", "about").collect()]
+    return out + [(f"withheld: {r.metric}", r.reasons) for r in gates.withheld(guardrails.suppressions(gate)).orderBy("metric").collect()]
 
 
 def triage_eval(spark: SparkSession, path: str, config: Mapping, tree: trees.Taxonomy) -> DataFrame:
@@ -106,7 +131,8 @@ def triage_eval(spark: SparkSession, path: str, config: Mapping, tree: trees.Tax
     held, rel = loaded(spark, path), relations(spark, config, tree)
     if rel["labels"] is None:
         raise BadInput("a ranking can only be evaluated against labels")
-    ranked = {"raw_confidence": ranking.raw_confidence(held["verdicts"]), "panel_disagreement": ranking.panel_disagreement(held["verdicts"]), "output_length": ranking.output_length(rel["items"]), "random": ranking.hash_uniform(rel["items"])}
+    ranked = strategies(held, rel["items"])
+    del ranked["majority_label"]
     return evidence.compare_strategies(ranked, ranking.build_target(held["outputs"], rel["labels"]))
 
 

@@ -53,3 +53,12 @@ def test_command_line_refuses_bad_input(files, capsys):
     assert main(["plan", str(d / "bad.yml")]) == 2 and "error" in capsys.readouterr().err
     with pytest.raises(BadInput):
         project.load(yaml.safe_dump({k: "x" for k in (*project.NEEDED, "colour")}))
+
+
+def test_a_report_has_gates_and_what_they_withhold(spark, files):
+    d, config, tree = files
+    path = project.run(spark, config, tree, str(d / "gated"), {j: (lambda prompt: '{"correct": true, "confidence": 0.9}') for j in config["judges"]}, datetime(2024, 2, 1))
+    bare, full = dict(project.analyse(spark, path)), dict(project.analyse(spark, path, config, tree))
+    assert bare["gate: no_label_leakage"] == "note, ok" and bare["gate: judge_health"].startswith("stop, ") and "panel.agreement" in "".join(bare)
+    assert "calibration gap" in bare and bare["calibration gap"] is None and full["calibration gap"] is not None and "area of random" in full
+    assert 0 <= full["passed label_in_taxonomy"] <= 1 and any(k.startswith("withheld: ") for k in full)
