@@ -58,7 +58,7 @@ def copy_ratio(pairs: DataFrame, most: float = 0.5) -> DataFrame:
 
 def shingle_sets(texts: DataFrame, size: int = 5) -> DataFrame:
     """(item_id, shingles): the distinct runs of five tokens, hashed; a shorter text is one, one without tokens is left out."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - size)), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
     # Words are bound by a lambda of their own: named in an inner one, they would be split anew for every run.
     bound = F.element_at(F.transform(F.array(words(F.col("text"))), lambda w: F.when(F.size(w) > 0, F.array_distinct(runs(w)))), 1)
     return texts.select("item_id", bound.alias("shingles")).filter("shingles IS NOT NULL")

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proofline.sources.readers import spread
+
 TRUTH = "CASE WHEN lang IN ('en', 'de') THEN concat('germanic.', lang) ELSE concat('romance.', lang) END"
 
 PROJECTIONS = {
@@ -55,6 +57,8 @@ PROJECTIONS = {
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = PROJECTIONS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text))}
+    if "documents" in tables:
+        tables["documents"] = spread(tables["documents"], "doc_id")  # long texts: the work is in the rows
     return spark.sql(text, **tables)
 
 

@@ -50,6 +50,16 @@ def _json_lines(spark: SparkSession, reader, path: str, schema: T.StructType | N
     return reader.option("mode", "FAILFAST").json(path)
 
 
+def spread(df: DataFrame, key: str, least: int = 4 << 20, most: int = 1 << 30) -> DataFrame:
+    """df dealt by key over all cores, if it is of `least` to `most` bytes and comes in fewer files than there are cores.
+
+    A small file is one task, however much work its texts are. Larger tables come in many files and stay as they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if least <= size <= most and len(df.inputFiles()) < cores else df
+
+
 def _named(df: DataFrame, wanted: str, other: str) -> DataFrame:
     if wanted in df.columns:
         return df
